@@ -29,6 +29,7 @@ from termloom.llm.tokens import encoder, vocabulary_path
 
 _HEAD = struct.Struct("<4sHHQQII")
 BLOCK_IDS = 8192
+_PLAIN = {8: "<u1", 16: "<u2", 32: "<u4"}
 
 
 def id_bits(vocabulary: int) -> int:
@@ -37,6 +38,10 @@ def id_bits(vocabulary: int) -> int:
 
 def pack_ids(ids: np.ndarray, bits: int) -> np.ndarray:
     """uint64 words; ids are padded with zeros to a multiple of 64."""
+    if bits in _PLAIN:  # the same layout as an array of that type
+        out = np.zeros(-(-len(ids) // 64) * 64, dtype=_PLAIN[bits])
+        out[: len(ids)] = ids
+        return out.view("<u8")
     lanes = np.zeros((-(-len(ids) // 64), 64), dtype=np.uint64)
     lanes.reshape(-1)[: len(ids)] = ids
     out = np.zeros((len(lanes), bits), dtype=np.uint64)
@@ -49,6 +54,8 @@ def pack_ids(ids: np.ndarray, bits: int) -> np.ndarray:
 
 
 def unpack_ids(words: np.ndarray, bits: int, n: int) -> np.ndarray:
+    if bits in _PLAIN:
+        return words.view(_PLAIN[bits])[:n].astype(np.uint32)
     rows = words.reshape(-1, bits)
     out = np.empty((len(rows), 64), dtype=np.uint32)
     mask = np.uint64((1 << bits) - 1)
@@ -105,7 +112,7 @@ class PackedFile:
         return self.ids(int(self.starts[i]), int(self.starts[i + 1]))
 
 
-def write_token_files(docs: DataFrame, end_id: int = 2, path: str | None = None, vocabulary: str | None = None, file_ids: int = 4_000_000) -> tuple[str, list[tuple[int, int, int, int]]]:
+def write_token_files(docs: DataFrame, end_id: int = 2, path: str | None = None, vocabulary: str | None = None, file_ids: int = 1_000_000) -> tuple[str, list[tuple[int, int, int, int]]]:
     """Encodes every text, appends ``end_id`` and writes packed files.
 
     Files follow ascending (doc_id, hash of the text): file ``(part, seq)``
@@ -183,14 +190,14 @@ def read_token_files(spark, folder: str, manifest: list[tuple[int, int, int, int
                 for at in range(0, packed.n_docs, 2000):
                     to = min(packed.n_docs, at + 2000)
                     first = int(packed.starts[at])
-                    run = packed.ids(first, int(packed.starts[to])).astype("<u4")
+                    view = packed.ids(first, int(packed.starts[to])).astype("<u4").view(np.uint8).data
                     s = packed.starts[at : to + 1]
                     yield pa.RecordBatch.from_pydict(
                         {
                             "doc_id": pa.array(packed.doc_ids[at:to], pa.int64()),
                             "start": pa.array(start + s[:-1], pa.int64()),
                             "n_tokens": pa.array(np.diff(s), pa.int64()),
-                            "ids": pa.array([run[a - first : b - first].tobytes() for a, b in zip(s[:-1], s[1:], strict=True)], pa.binary()),
+                            "ids": pa.LargeBinaryArray.from_buffers(pa.large_binary(), to - at, [None, pa.py_buffer(4 * (s - first)), pa.py_buffer(view)]).cast(pa.binary()),
                         }
                     )
 

@@ -35,7 +35,7 @@ class Encoder:
     ``cache_entries`` pieces are remembered, then the memory starts anew.
     """
 
-    def __init__(self, path: str, cache_entries: int = 900_000):
+    def __init__(self, path: str, cache_entries: int = 1_200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
