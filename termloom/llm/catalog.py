@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from termloom.llm import bitpack, decontam, neardup, packing, sharding
+from termloom.llm import bitpack, decontam, langid, neardup, packing, quality, sharding, topk
 from termloom.llm.common import table
 
 
@@ -14,10 +14,23 @@ def op6_token_bitpack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.token_file_digest(table(spark, sf_dir, "documents"))
 
 
+def op1_cotraining_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "p_text", "p_meta", "quality_score", "accepted")
+
+
 def op3_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=4)
 
 
+def op4_histogram_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
+def op5_bigru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op7_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -31,7 +44,7 @@ def op8_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_lsh_forest, op6_token_bitpack, op7_wu_manber, op8_histogram_shards, op10_cutting_stock)}
+    return {f.__name__: f for f in (op1_cotraining_quality, op3_lsh_forest, op4_histogram_topk, op5_bigru_language, op6_token_bitpack, op7_wu_manber, op8_histogram_shards, op10_cutting_stock)}
 
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{}')"
@@ -70,5 +83,15 @@ FROM d LEFT JOIN q USING (doc_id) LEFT JOIN c USING (doc_id)
 """
 
 
+OP4_SQL = """
+WITH v AS (SELECT vec_id, max(list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT))) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 GROUP BY vec_id),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_lsh_forest": OP3_SQL, "op7_wu_manber": OP7_SQL}
+    return {"op4_histogram_topk": OP4_SQL, "op3_lsh_forest": OP3_SQL, "op7_wu_manber": OP7_SQL}
