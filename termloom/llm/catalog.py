@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from termloom.llm import bitpack, decontam, langid, neardup, packing, quality, sharding, topk
+from termloom.llm import bitpack, decontam, langid, neardup, packing, pii, quality, sharding, topk
 from termloom.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op1_cotraining_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "p_text", "p_meta", "quality_score", "accepted")
 
 
+def op2_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_digest(table(spark, sf_dir, "documents"))
+
+
 def op3_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=4)
 
@@ -44,7 +48,7 @@ def op8_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_cotraining_quality, op3_lsh_forest, op4_histogram_topk, op5_bigru_language, op6_token_bitpack, op7_wu_manber, op8_histogram_shards, op10_cutting_stock)}
+    return {f.__name__: f for f in (op1_cotraining_quality, op2_weak_supervision_pii, op3_lsh_forest, op4_histogram_topk, op5_bigru_language, op6_token_bitpack, op7_wu_manber, op8_histogram_shards, op10_cutting_stock)}
 
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{}')"
