@@ -13,7 +13,7 @@ _POSITION = (_RANDOM.randint(0, 1 << 32, 64, dtype=np.uint64) << np.uint64(32))
 _POWERS: list[np.ndarray] = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the odd base and of its inverse, modulo 2**64."""
     if len(_POWERS[0]) < n:
         inverse = pow(_BASE, -1, 1 << 64)
@@ -42,7 +42,7 @@ def _word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     gap = data == 32
     edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
     begin, end = edge[::2], edge[1::2]
-    power, inverse = _powers(len(data))
+    power, inverse = powers(len(data))
     total = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(_BYTE[data] * power, out=total[1:])
     words = mix((total[end] - total[begin]) * inverse[begin] + (end - begin).astype(np.uint64))

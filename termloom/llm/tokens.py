@@ -3,23 +3,26 @@
 The pre-tokenizer of this vocabulary never joins text across a single space
 between two non-space characters, nor across a single line break between two
 non-space characters.  Text is cut there, each distinct piece is encoded by
-the library once and the ids are gathered with numpy.  Any text with another
-arrangement of white space goes to the library whole, so the ids are always
-the library's own.
+the library once and the ids are gathered with numpy.  Pieces are known by
+128-bit hashes in an open-addressing table, so a batch is cut, hashed and
+looked up by vector operations.  Any text with another arrangement of white
+space goes to the library whole, so the ids are always the library's own.
 """
 
 from __future__ import annotations
 
 import re
-from itertools import repeat
 
 import numpy as np
 import regex
 
+from termloom.llm.shingles import mix, powers
+
 _PRETOKEN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 _LATIN = re.compile("[ !-~\u00a1-\u024f][!-~\u00a1-\u024f]*")
 _ADJACENT = re.compile(r"\s\s")
-_CUT = "\x01"
+_BYTES = np.random.RandomState(11).randint(0, 1 << 63, (2, 256)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_SLOTS = 1 << 22
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -35,7 +38,7 @@ class Encoder:
     ``cache_entries`` pieces are remembered, then the memory starts anew.
     """
 
-    def __init__(self, path: str, cache_entries: int = 1_200_000):
+    def __init__(self, path: str, cache_entries: int = 1_600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -53,14 +56,38 @@ class Encoder:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _reset(self) -> None:
-        self.known: dict[str, int] = {}
+        self.keys = np.zeros((2, _SLOTS), dtype=np.uint64)
+        self.place = np.full(_SLOTS, -1, dtype=np.int32)
         self.flat = np.zeros(1 << 20, dtype=np.uint32)
         self.starts = np.zeros(1 << 18, dtype=np.int64)
         self.n, self.used = 0, 0
-        self._append(np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64))
-        self.known[""] = 0
-        self._append(np.array(self.newline, dtype=np.uint32), np.array([len(self.newline)]))
-        self.known["\n"] = 1
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Piece numbers of hashes (2 rows), -1 for unknown ones."""
+        out = np.full(h.shape[1], -1, dtype=np.int64)
+        slot = (h[0] & np.uint64(_SLOTS - 1)).astype(np.int64)
+        at = np.arange(h.shape[1])
+        while len(at):
+            got = self.place[slot]
+            same = (self.keys[0][slot] == h[0][at]) & (self.keys[1][slot] == h[1][at]) & (got >= 0)
+            out[at[same]] = got[same]
+            on = ~same & (got >= 0)
+            at, slot = at[on], (slot[on] + 1) & (_SLOTS - 1)
+        return out
+
+    def _store(self, h: np.ndarray, first: int) -> None:
+        """Remembers new distinct hashes as pieces ``first``, ``first`` + 1, ..."""
+        slot = (h[0] & np.uint64(_SLOTS - 1)).astype(np.int64)
+        at = np.arange(h.shape[1])
+        while len(at):
+            free = self.place[slot] < 0
+            here, one = np.unique(slot[free], return_index=True)
+            mine = at[free][one]
+            self.keys[:, here] = h[:, mine]
+            self.place[here] = first + mine
+            on = np.ones(len(at), dtype=bool)
+            on[np.flatnonzero(free)[one]] = False
+            at, slot = at[on], (slot[on] + 1) & (_SLOTS - 1)
 
     def _append(self, ids: np.ndarray, lengths: np.ndarray) -> int:
         """Adds pieces; returns the index of the first."""
@@ -74,8 +101,8 @@ class Encoder:
         self.n, self.used = n, used
         return first
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Encodes new pieces.  Latin ones without inner white space are cut
+    def _learn(self, pieces: list[str]) -> int:
+        """Encodes new pieces; returns the first's number.  Latin ones without inner white space are cut
         into pre-tokens here and merged by the library's model; any other
         piece goes through the whole tokenizer."""
         ids: list[int] = []
@@ -88,10 +115,9 @@ class Encoder:
                 own = self._encode(piece)
             ids += own
             lengths.append(len(own))
-        first = self._append(np.array(ids, dtype=np.uint32), np.array(lengths, dtype=np.int64))
-        self.known.update(zip(pieces, range(first, first + len(pieces)), strict=True))
+        return self._append(np.array(ids, dtype=np.uint32), np.array(lengths, dtype=np.int64))
 
-    def encode_many(self, texts: list[str | None], slice_chars: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
+    def encode_many(self, texts: list[str | None], slice_chars: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
         ids, lengths, part, chars = [], [], [], 0
         for text in texts:
             part.append(text or "")
@@ -106,38 +132,46 @@ class Encoder:
         return np.concatenate(ids), np.concatenate(lengths)
 
     def _slice(self, texts: list[str], ids: list, lengths: list) -> None:
-        if len(self.known) > self.cache_entries or self.n > 2 * self.cache_entries:
+        if self.n > self.cache_entries:
             self._reset()
-        pieces: list[str] = []
-        counts = np.zeros(len(texts), dtype=np.int64)
-        whole: list[tuple[int, str]] = []
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            if _ADJACENT.search(text) or text[0] == " " or text[-1] == " " or _CUT in text:
-                whole.append((len(pieces), text))
-                pieces.append("")
-                counts[i] = 1
-            else:
-                own = text.replace(" ", "\x01 ").replace("\n", "\x01\n\x01").split(_CUT)
-                counts[i] = len(own)
-                pieces += own
-        index = np.fromiter(map(self.known.get, pieces, repeat(-1)), dtype=np.int64, count=len(pieces))
-        missing = np.flatnonzero(index < 0).tolist()
-        if missing:
-            self._learn(list(dict.fromkeys([pieces[i] for i in missing])))
-            index[missing] = [self.known[pieces[i]] for i in missing]
-        for at, text in whole:
-            own = self._encode(text)
-            index[at] = self._append(np.array(own, dtype=np.uint32), np.array([len(own)]))
+        whole = np.array([bool(t) and bool(_ADJACENT.search(t) or t[0] == " " or t[-1] == " ") for t in texts])
+        raw = [b"" if w else t.encode() for t, w in zip(texts, whole.tolist(), strict=True)]
+        sizes = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
+        heads = np.cumsum(sizes) - sizes
+        joined = b"".join(raw)
+        data = np.frombuffer(joined, dtype=np.uint8)
+        line = data == 10
+        cut = (data == 32) | line
+        cut[1:] |= line[:-1]
+        cut[heads[sizes > 0]] = True
+        begin = np.flatnonzero(cut)
+        index = np.zeros(0, dtype=np.int64)
+        if len(begin):
+            end = np.append(begin[1:], len(data))
+            power, inverse = powers(len(data))
+            h = np.empty((2, len(begin)), dtype=np.uint64)
+            total = np.zeros(len(data) + 1, dtype=np.uint64)
+            for k in (0, 1):
+                np.cumsum(_BYTES[k][data] * power, out=total[1:])
+                h[k] = mix((total[end] - total[begin]) * inverse[begin] + (end - begin).astype(np.uint64))
+            index = self._find(h)
+            while len(missing := np.flatnonzero(index < 0)):
+                new = missing[np.unique(h[0][missing] ^ (h[1][missing] << np.uint64(1)), return_index=True)[1]]
+                first = self._learn([joined[a:b].decode() for a, b in zip(begin[new].tolist(), end[new].tolist(), strict=True)])
+                self._store(h[:, new], first)
+                index[missing] = self._find(h[:, missing])
+        counts = np.diff(np.searchsorted(begin, np.append(heads, len(data))))
+        if whole.any():
+            at = np.cumsum(counts)
+            own = [self._encode(t) for t, w in zip(texts, whole.tolist(), strict=True) if w]
+            first = self._append(np.array([x for o in own for x in o], dtype=np.uint32), np.array([len(o) for o in own], dtype=np.int64))
+            index = np.insert(index, at[whole], first + np.arange(len(own)))
+            counts = counts + whole
         start, size = self.starts[index], self.starts[index + 1] - self.starts[index]
-        total = int(size.sum())
         ends = np.cumsum(size)
-        gather = np.arange(total, dtype=np.int64) + np.repeat(start - (ends - size), size)
+        gather = np.arange(int(size.sum()), dtype=np.int64) + np.repeat(start - (ends - size), size)
         ids.append(self.flat[gather])
-        bounds = np.concatenate([[0], np.cumsum(counts)])
-        at = np.concatenate([[0], ends])[bounds]
-        lengths.append(np.diff(at))
+        lengths.append(np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]))
 
 
 _ENCODERS: dict[str, Encoder] = {}
