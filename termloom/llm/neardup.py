@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from termloom.llm.common import discard, materialize, shuffle_partitions
 from termloom.llm.graph import components
+from termloom.llm.sieve import sieve
 from termloom.llm.shingles import fold, shingle_sets, similar
 
 TREES, DEPTH, REGION, NEAR = 20, 3, 8, 2
@@ -138,7 +139,9 @@ def candidates(classes: DataFrame, percent: int) -> DataFrame:
 def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id"), "candidate-texts")
+    wanted = materialize(wanted, "candidate-ids")
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = materialize(sieve(named, "doc_id", wanted).join(wanted, "doc_id"), "candidate-texts")
     left = pairs.select("a", "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
     both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
