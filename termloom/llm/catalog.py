@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from termloom.llm import bitpack, decontam, langid, neardup, packing, pii, quality, sharding, topk
+from termloom.llm import bitpack, decontam, langid, neardup, packing, pii, quality, quotes, sharding, topk
 from termloom.llm.common import table
 
 
@@ -39,6 +39,10 @@ def op7_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.reply_ordered(table(spark, sf_dir, "conversations"))
+
+
 def op10_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op8_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_cotraining_quality, op2_weak_supervision_pii, op3_lsh_forest, op4_histogram_topk, op5_bigru_language, op6_token_bitpack, op7_wu_manber, op8_histogram_shards, op10_cutting_stock)}
+    return {f.__name__: f for f in (op1_cotraining_quality, op2_weak_supervision_pii, op3_lsh_forest, op4_histogram_topk, op5_bigru_language, op6_token_bitpack, op7_wu_manber, op8_histogram_shards, op9_quote_linking, op10_cutting_stock)}
 
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{}')"
