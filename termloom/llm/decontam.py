@@ -183,7 +183,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, min_items: int = 2, wid
     return docs.select(*[f.name for f in keep]).mapInArrow(scan, schema)
 
 
-def _slices(batch, size: int = 4 << 20):
+def _slices(batch, size: int = 2 << 20):
     """Row runs of about ``size`` bytes."""
     step = max(1, int(batch.num_rows * size / max(1, batch.nbytes)))
     for at in range(0, batch.num_rows, step):

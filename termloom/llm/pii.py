@@ -119,7 +119,7 @@ def propose(docs: DataFrame) -> DataFrame:
     """``docs`` with __tl_base and __tl_extra: valid base spans and all other
     proposals that meet none of them."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    digit = text.rlike("[0-9]{2}")
+    digit = text.rlike("[0-9]")
     yes = lambda m: F.lit(True)
     no = lambda m: F.lit(False)
     guards = {"ip": digit & text.rlike(r"[0-9]\.[0-9]++\.[0-9]"), "card": digit & text.rlike(r"[0-9](?:[\x20-]?[0-9]){12}"), "national": digit & text.rlike(r"[0-9]{3}[.-][0-9]{4}")}

@@ -109,7 +109,7 @@ class _Text:
     def __init__(self, shares: list[tuple[np.ndarray, np.ndarray]]):
         self.n = len(shares)
         self.doc = np.repeat(np.arange(self.n), [len(x[0]) for x in shares])
-        self.row, self.share = (np.concatenate([x[k] for x in shares]) for k in (0, 1))
+        self.row, self.share = (np.concatenate([np.asarray(x[k], dtype=kind) for x in shares]) for k, kind in ((0, np.int64), (1, np.float64)))
 
     def logits(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.doc, w[self.row] * self.share, self.n) + w[-1]
@@ -221,21 +221,22 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = 3000, unlabelled:
         import pyarrow as pa
 
         for batch in batches:
-            step = max(1, int(batch.num_rows * (2 << 20) / max(1, batch.nbytes)))
+            step = max(1, int(batch.num_rows * (1 << 20) / max(1, batch.nbytes)))
             for at in range(0, batch.num_rows, step):
                 texts, langs, sources = (batch.slice(at, step).column(k).to_pylist() for k in (2, 3, 4))
                 shares, meta = text_shares(texts), meta_features(texts, langs, sources)
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.slice(at, step).column(k) for k in (0, 1)), pa.array([x[0] for x in shares], pa.list_(pa.int32())), pa.array([x[1] for x in shares], pa.list_(pa.float32())), pa.array(list(meta), pa.list_(pa.float64()))],
+                    [*(batch.slice(at, step).column(k) for k in (0, 1)), *(pa.array([x[k].tobytes() for x in shares], pa.binary()) for k in (0, 1)), pa.array([x.tobytes() for x in meta], pa.binary())],
                     names=["doc_id", "y", "which", "share", "meta"],
                 )
 
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source").join(F.broadcast(ids), "doc_id")
-    found = sample.select("doc_id", "y", "text", "lang", "source").mapInArrow(features, "doc_id long, y int, which array<int>, share array<float>, meta array<double>").toPandas()
-    if not len(found):
+    found = sample.select("doc_id", "y", "text", "lang", "source").mapInArrow(features, "doc_id long, y int, which binary, share binary, meta binary").collect()
+    if not found:
         return None
-    found = found.assign(n=found["which"].map(len)).sort_values(["doc_id", "n"], kind="stable")
-    return cotrain(list(zip(found["which"], found["share"], strict=True)), np.stack(found["meta"].to_list()), found["y"].to_numpy())
+    found.sort(key=lambda r: (r["doc_id"], bytes(r["which"])))
+    shares = [(np.frombuffer(r["which"], dtype=np.int32), np.frombuffer(r["share"], dtype=np.float32)) for r in found]
+    return cotrain(shares, np.stack([np.frombuffer(r["meta"]) for r in found]), np.array([r["y"] for r in found]))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, labelled: int = 3000, unlabelled: int = 3000) -> DataFrame:
@@ -257,7 +258,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, la
         import pyarrow as pa
 
         for batch in batches:
-            step = max(1, int(batch.num_rows * (4 << 20) / max(1, batch.nbytes)))
+            step = max(1, int(batch.num_rows * (1 << 20) / max(1, batch.nbytes)))
             for at in range(0, batch.num_rows, step):
                 rows = batch.slice(at, step)
                 column = lambda n: rows.column(rows.schema.get_field_index(n))  # noqa: E731, B023

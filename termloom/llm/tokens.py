@@ -22,7 +22,7 @@ _PRETOKEN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p
 _LATIN = re.compile("[ !-~\u00a1-\u024f][!-~\u00a1-\u024f]*")
 _ADJACENT = re.compile(r"\s\s")
 _BYTES = np.random.RandomState(11).randint(0, 1 << 63, (2, 256)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-_SLOTS = 1 << 22
+_SLOTS = 1 << 21
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -38,7 +38,7 @@ class Encoder:
     ``cache_entries`` pieces are remembered, then the memory starts anew.
     """
 
-    def __init__(self, path: str, cache_entries: int = 1_600_000):
+    def __init__(self, path: str, cache_entries: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
