@@ -7,6 +7,10 @@ region (classes that share a prefix) is small all its pairs, where it is large
 the region is entered deeper, value by value, until its parts are small, and
 next neighbours by longest common prefix are taken at every depth.  So a
 region gives a number of pairs in proportion to its classes whatever its size.
+In a large region the class that shares most of its prefixes with others, its
+centre, is paired with all that are not yet linked to it, and so is the centre
+of what is then left, as long as that finds links: copies of one text with
+changes of their own are alike to that text but seldom to each other.
 Every link is confirmed on the full shingle sets.
 """
 
@@ -103,14 +107,26 @@ def _pairs(tree, k1, k2, ids, n, percent: int) -> np.ndarray:
     return p[:, ok]
 
 
-def candidates(classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b), a < b, of classes that are neighbours in some tree."""
+def _crowded(tree: np.ndarray, k1: np.ndarray) -> np.ndarray:
+    """Rows of regions of two values that hold more than REGION rows here, or
+    that may go on beside this partition."""
+    m = len(tree)
+    new = np.ones(m, dtype=bool)
+    new[1:] = (tree[1:] != tree[:-1]) | ((k1[1:] >> 32) != (k1[:-1] >> 32))
+    at = np.cumsum(new) - 1
+    return np.flatnonzero((np.bincount(at)[at] > REGION) | (at == 0) | (at == at[-1]))
+
+
+def candidates(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b), a < b, of classes that are neighbours in some tree, and
+    the rows (tree, k1, doc_id, n) of regions that may be large."""
     spark = classes.sparkSession
     turned = F.concat(F.slice("keys", 8, TREES - 7), F.slice("keys", 1, 7))
     rows = classes.select(F.posexplode(F.arrays_zip(F.col("keys").alias("a"), turned.alias("b"))).alias("tree", "k"), "doc_id", "n").select("tree", F.col("k.a").alias("k1"), F.col("k.b").alias("k2"), "doc_id", "n")
     order = ["tree", "k1", "k2", "doc_id"]
     parts = shuffle_partitions(spark)
-    schema = "a long, b long, edge boolean, tree int, k1 long, k2 long, doc_id long, n long"
+    schema = "a long, b long, kind int, tree int, k1 long, k2 long, doc_id long, n long"
+    names = ["a", "b", "kind", "tree", "k1", "k2", "doc_id", "n"]
 
     def find(batches, last: bool = False):
         import pyarrow as pa
@@ -124,16 +140,45 @@ def candidates(classes: DataFrame, percent: int) -> DataFrame:
         x = np.unique(np.sort(np.stack([ids[p[0]], ids[p[1]]]), axis=0), axis=1)
         k = x.shape[1]
         none = lambda kind: pa.nulls(k, kind)
-        yield pa.RecordBatch.from_arrays([pa.array(x[0]), pa.array(x[1]), pa.array(np.zeros(k, dtype=bool)), none(pa.int32()), none(pa.int64()), none(pa.int64()), none(pa.int64()), none(pa.int64())], names=["a", "b", "edge", "tree", "k1", "k2", "doc_id", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(x[0]), pa.array(x[1]), pa.array(np.zeros(k, dtype=np.int32)), none(pa.int32()), none(pa.int64()), none(pa.int64()), none(pa.int64()), none(pa.int64())], names=names)
         if not last:  # the rows beside a partition's bounds meet once more
-            at = np.unique(np.concatenate([np.arange(min(REGION, len(ids))), np.arange(max(0, len(ids) - REGION), len(ids))]))
-            none = pa.nulls(len(at), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, pa.array(np.ones(len(at), dtype=bool)), *(pa.array(c[at]) for c in (tree, k1, k2, ids, n))], names=["a", "b", "edge", "tree", "k1", "k2", "doc_id", "n"])
+            beside = np.unique(np.concatenate([np.arange(min(REGION, len(ids))), np.arange(max(0, len(ids) - REGION), len(ids))]))
+            for kind, at in ((1, beside), (2, _crowded(tree, k1))):
+                none = pa.nulls(len(at), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, pa.array(np.full(len(at), kind, dtype=np.int32)), *(pa.array(c[at]) for c in (tree, k1, k2, ids, n))], names=names)
 
     found = materialize(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(find, schema), "candidates")
-    edges = found.filter("edge").select(*order, "n").coalesce(1).sortWithinPartitions(*order)
+    edges = found.filter("kind = 1").select(*order, "n").coalesce(1).sortWithinPartitions(*order)
     across = edges.mapInArrow(lambda b: find(b, True), schema)
-    return found.filter("not edge").select("a", "b").unionByName(across.select("a", "b")).groupBy("a", "b").agg(F.count("*").alias("trees"))
+    pairs = found.filter("kind = 0").select("a", "b").unionByName(across.select("a", "b")).groupBy("a", "b").agg(F.count("*").alias("trees"))
+    return pairs, found.filter("kind = 2").select("tree", "k1", "doc_id", "n")
+
+
+def _members(crowd: DataFrame) -> DataFrame:
+    """tree, region, doc_id, n and score of the classes in large regions.
+
+    A class's score is the number of rows that share its prefix of four
+    values, over all trees: the original of many changed copies has the
+    greatest of them."""
+    crowd = crowd.select("tree", F.shiftright("k1", 32).alias("region"), "k1", "doc_id", "n")
+    large = crowd.groupBy("tree", "region").agg(F.count("*").alias("c")).filter(F.col("c") > REGION).select("tree", "region")
+    rows = materialize(crowd.join(large, ["tree", "region"]), "crowded")
+    alike = rows.groupBy("tree", "k1").agg(F.count("*").alias("alike"))
+    score = rows.join(alike, ["tree", "k1"]).groupBy("doc_id").agg(F.sum("alike").alias("score"))
+    return materialize(rows.drop("k1").join(score, "doc_id"), "members")
+
+
+def _central_pairs(members: DataFrame, roots: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs of each region's centre with its classes of other components, and
+    the members that are not in their centre's component."""
+    root = F.coalesce("root", "doc_id")
+    now = members.join(roots.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").withColumn("root", root)
+    centre = now.groupBy("tree", "region").agg(F.max(F.struct("score", (-F.col("doc_id")).alias("least"), F.col("n").alias("m"), F.col("root").alias("own"))).alias("c"))
+    centre = centre.select("tree", "region", (-F.col("c.least")).alias("centre"), F.col("c.m").alias("m"), F.col("c.own").alias("own"))
+    rest = materialize(now.join(centre, ["tree", "region"]).filter("root <> own"), "rest-members")
+    close = rest.filter(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
+    pairs = close.select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct()
+    return pairs, rest.select("tree", "region", "doc_id", "n", "score")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -177,7 +222,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     named = sketch.filter("n > 0 and doc_id is not null")
     classes = materialize(named.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")), "classes")
     lone = materialize(named.join(classes.select(F.col("rep").alias("doc_id"), "n", "s1", "s2"), ["doc_id", "n", "s1", "s2"]).dropDuplicates(["doc_id", "n", "s1", "s2"]), "class-sketches")
-    pairs = materialize(candidates(lone.select("doc_id", "n", "keys"), percent), "pairs")
+    near, crowd = candidates(lone.select("doc_id", "n", "keys"), percent)
+    pairs = materialize(near, "pairs")
     discard(lone)
     # A first round confirms each class's best pair; pairs inside a component need no test after that.
     best = pairs.select(F.explode(F.array("a", "b")).alias("x"), "a", "b", "trees").groupBy("x").agg(F.max(F.struct("trees", -F.col("a"), -F.col("b"))).alias("m"))
@@ -190,6 +236,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     if not rest.isEmpty():
         links = materialize(links.unionByName(confirm(rest, docs, words, percent)), "links")
         roots = materialize(components(links), "roots")
+    tested = pairs.select("a", "b")
+    members, idle = _members(crowd), 0
+    while idle < 2 and not members.isEmpty():
+        central, members = _central_pairs(members, roots, percent)
+        central = materialize(central.join(tested, ["a", "b"], "left_anti"), "central-pairs")
+        fresh = None if central.isEmpty() else materialize(confirm(central, docs, words, percent), "central-links")
+        if fresh is None or fresh.isEmpty():
+            idle += 1
+        else:
+            idle, tested = 0, tested.unionByName(central)
+            links = materialize(links.unionByName(fresh), "links")
+            roots = materialize(components(links), "roots")
     root_of = classes.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("n", "s1", "s2", F.coalesce("root", "rep").alias("root"))
     root_of = materialize(root_of, "class-roots")
     with_root = sketch.select("doc_id", "n", "s1", "s2").join(root_of, ["n", "s1", "s2"], "left")

@@ -59,6 +59,20 @@ def test_a_large_group_of_near_copies_is_one_component(spark):
     assert {r["component_id"] for r in got} == {0}
 
 
+def test_copies_that_are_alike_to_their_original_only(spark):
+    words = prose(8, 120).split()
+    texts = [" ".join(words)]
+    for k in range(400):
+        own = list(words)
+        own[k % 55], own[60 + k // 7 % 55] = f"a{k}", f"b{k}"
+        texts.append(" ".join(own))
+    data = list(enumerate(texts))
+    assert brute([data[1], data[30]], 5, 80) == {1: (116, 1), 30: (116, 30)}
+    ids = [k + 1000 for k, _ in data[::-1]]
+    got = near_duplicates(spark.createDataFrame(rows(texts, ids), SCHEMA), words=5).collect()
+    assert {r["component_id"] for r in got} == {1000}
+
+
 def test_edge_cases(nasty, empty):
     got = near_duplicates(nasty, words=5).collect()
     assert len(got) == nasty.count()
