@@ -31,11 +31,11 @@ def feature_likelihood(tf: DataFrame, resp: DataFrame) -> DataFrame:
 
 
 def posterior(samples: DataFrame, tf: DataFrame, prior: DataFrame, likelihood: DataFrame) -> DataFrame:
-    """sample_id, p_pos, p_neg, predicted.  Each distinct term counts once; a
-    sample without terms has the prior; a term that training lacks gives no
+    """sample_id, p_pos, p_neg, predicted.  Each distinct term counts once (tf
+    has one row for each sample and term), whatever its n; a sample without terms has the prior; a term that training lacks gives no
     evidence; ties are positive."""
     wide = likelihood.groupBy("term").agg(*(F.max(F.when(F.col("c") == c, F.ln("pr_f"))).alias(n) for c, n in ((1, "lp"), (-1, "ln"))))
-    logs = tf.select("sample_id", "term").distinct().join(wide, "term").groupBy("sample_id").agg(F.sum("lp").alias("lp"), F.sum("ln").alias("ln"))
+    logs = tf.select("sample_id", "term").join(wide, "term").groupBy("sample_id").agg(F.sum("lp").alias("lp"), F.sum("ln").alias("ln"))
     both = prior.agg(*(F.coalesce(F.max(F.when(F.col("c") == c, F.ln("pr_c"))), F.lit(float("-inf"))).alias(n) for c, n in ((1, "bp"), (-1, "bn"))))
     x = samples.select("sample_id").join(logs, "sample_id", "left").crossJoin(F.broadcast(both))
     x = x.select("sample_id", (F.coalesce("lp", F.lit(0.0)) + F.col("bp")).alias("a"), (F.coalesce("ln", F.lit(0.0)) + F.col("bn")).alias("b"))

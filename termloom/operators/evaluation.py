@@ -37,7 +37,7 @@ def spy_report(split: DataFrame) -> DataFrame:
 def recall_at(scores: DataFrame, k: int) -> DataFrame:
     """multiple (1..3), recall: the share of the hidden rows among the k, 2k
     and 3k highest scores of (sample_id, score, hidden)."""
-    top = scores.orderBy(F.desc("score"), "sample_id").limit(3 * k)
+    top = scores.orderBy(F.desc("score"), "sample_id").limit(3 * k)  # the measure's own cut
     ranked = top.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "sample_id")))  # 3k rows
     hidden = scores.agg(F.count_if("hidden").alias("__h"))
     counts = ranked.agg(*(F.count_if(F.col("hidden") & (F.col("rank") <= m * k)).alias(f"m{m}") for m in (1, 2, 3))).crossJoin(hidden)

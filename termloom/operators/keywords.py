@@ -68,7 +68,7 @@ def select_terms(degrees: DataFrame, limits: Thresholds) -> DataFrame:
     return degrees.filter((r("degree") >= limits.degree) & (r("speciality") >= limits.speciality) & (r("popularity") >= limits.popularity))
 
 
-def degrees_by_category(tf: DataFrame, dim: DataFrame, categories: DataFrame) -> DataFrame:
+def degrees_by_category(tf: DataFrame, dim: DataFrame, categories: DataFrame, combine: str = "product") -> DataFrame:
     """category, term, degree, speciality, popularity, each category against
     all other samples, in one grouped query."""
     members = categories.select("sample_id", "category")
@@ -83,7 +83,16 @@ def degrees_by_category(tf: DataFrame, dim: DataFrame, categories: DataFrame) ->
     u = F.coalesce(F.try_divide(F.col("all_used") - F.col("used"), F.nullif(F.col("all_total") - F.col("total"), F.lit(0))), F.lit(0.0))
     spread = F.when(F.col("docs") > 1, F.greatest((F.ln("s") - F.col("w") / F.col("s")) / F.ln(F.greatest("docs", F.lit(2.0))), F.lit(0.0))).otherwise(0.0)
     y = x.select("category", "term", (p / (p + u)).alias("speciality"), spread.alias("popularity"))
-    return y.withColumn("degree", F.col("speciality") * F.col("popularity"))
+    return y.withColumn("degree", F.col("speciality") * F.col("popularity") if combine == "product" else F.col("speciality") + F.col("popularity"))
+
+
+def category_weights(tf: DataFrame, dim: DataFrame, categories: DataFrame, limits: Thresholds = KEYWORD_QUERY, combine: str = "sum") -> tuple[DataFrame, DataFrame]:
+    """(by category, by sample): keyword degrees (category, term, degree) and
+    the cells (sample_id, category, term, weight) in which a sample's keywords
+    have their degree in its own category; samples without one have no cell."""
+    by_category = select_terms(degrees_by_category(tf, dim, categories, combine), limits).select("category", "term", "degree")
+    cells = tf.join(categories.select("sample_id", "category"), "sample_id").join(by_category, ["category", "term"])
+    return by_category, cells.select("sample_id", "category", "term", F.col("degree").alias("weight"))
 
 
 def sample_degrees(tf: DataFrame, dim: DataFrame, degrees: DataFrame, most: int = 20, order: str = "asc") -> DataFrame:

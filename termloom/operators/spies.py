@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termloom.operators import bayes, keywords
-from termloom.operators.ranking import first_by_hash
+from termloom.operators.ranking import first_by_hash, ordered
 from termloom.plans.storage import stored
 
 SPY_SHARE, NOISE = 0.10, 0.15
@@ -17,8 +17,7 @@ def spy_threshold(spy_posterior: DataFrame, noise: float = NOISE) -> float:
     n = spy_posterior.count()
     if not n:
         return 0.0
-    k = int(n * noise)
-    return spy_posterior.orderBy("p_pos", "sample_id").limit(k + 1).agg(F.max("p_pos")).first()[0]
+    return ordered(spy_posterior, "p_pos", "sample_id", name="place").filter(F.col("place") == int(n * noise)).first()["p_pos"]
 
 
 def spy_split(tf: DataFrame, positives: DataFrame, mixed: DataFrame, share: float = SPY_SHARE, noise: float = NOISE, max_rounds: int = 1) -> DataFrame:
@@ -33,13 +32,13 @@ def spy_split(tf: DataFrame, positives: DataFrame, mixed: DataFrame, share: floa
     return post.join(spies, "sample_id", "left_anti").select("sample_id", "p_pos", (F.col("p_pos") < t).alias("reliable"))
 
 
-def learning_set(tf: DataFrame, dim: DataFrame, positives: DataFrame, negatives: DataFrame, limits: keywords.Thresholds) -> tuple[DataFrame, DataFrame]:
+def learning_set(tf: DataFrame, dim: DataFrame, positives: DataFrame, negatives: DataFrame, limits: keywords.Thresholds, combine: str = "product") -> tuple[DataFrame, DataFrame]:
     """(targets, terms): positives 1, reliable negatives that are not positives
     -1, and the keywords that separate them."""
     clean = negatives.select("sample_id").join(positives, "sample_id", "left_anti")
     targets = positives.select("sample_id", F.lit(1).alias("target")).unionByName(clean.select("sample_id", F.lit(-1).alias("target")))
     side = lambda s: tf.join(s.select("sample_id"), "sample_id", "left_semi")
-    degrees = keywords.positive_degree(side(positives), side(clean), dim.join(positives.select("sample_id"), "sample_id", "left_semi"))
+    degrees = keywords.positive_degree(side(positives), side(clean), dim.join(positives.select("sample_id"), "sample_id", "left_semi"), combine)
     return targets, keywords.select_terms(degrees, limits)
 
 
@@ -59,4 +58,4 @@ def second_step(tf: DataFrame, positives: DataFrame, reliable: DataFrame, unknow
 
 def head(scores: DataFrame, n: int, lowest: bool = True) -> DataFrame:
     """The n lowest (or highest) samples of (sample_id, score)."""
-    return scores.orderBy(F.col("score").asc() if lowest else F.col("score").desc(), "sample_id").limit(n)
+    return ordered(scores, F.col("score").asc() if lowest else F.col("score").desc(), "sample_id", name="__place").filter(F.col("__place") < n).drop("__place")

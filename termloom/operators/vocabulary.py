@@ -36,6 +36,12 @@ def merge(target: DataFrame, source: DataFrame) -> DataFrame:
     return target.select("term", "term_id").unionByName(added.join(target, "term", "left_anti"))
 
 
+def synced(tokens: DataFrame, target: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(merged vocabulary, tokens with its ids): every token keeps a place."""
+    merged = merge(target, vocabulary(tokens))
+    return merged, tokens.join(merged, "term")
+
+
 def rekeyed(tokens: DataFrame, idmap: DataFrame) -> DataFrame:
     """Token rows (…, term) with ids of the map; unmapped tokens go."""
     return tokens.join(idmap.select("term", F.col("to_id").alias("term_id")), "term")

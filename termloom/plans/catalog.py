@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from termloom.functions import scalars, segmentation
 from termloom.operators import bayes, categories, classifiers, counts, evaluation, keywords, ranking, selection, sets, spies, text, vocabulary, weighting
+from termloom.plans import learning
 from termloom.plans.storage import stored
 from termloom.plans.twins import TWINS
 from termloom.sources import sinks, spider
@@ -326,8 +327,7 @@ def select_terms_keep_length(spark, d):
 @query
 def clone_subset(spark, d):
     tf = _tf(spark, d)
-    chosen = _samples(spark, d).filter("sample_id % 4 = 1")
-    return counts.term_stats(selection.clone(tf, chosen, counts.term_stats(tf).filter("term_samples >= 5")))
+    return counts.term_stats(selection.clone(tf, _positives(spark, d), counts.term_stats(tf).filter("term_samples >= 5")))
 
 
 # --- sets ---------------------------------------------------------------------
@@ -480,7 +480,7 @@ def nb_feature_probs(spark, d):
 
 def _posterior(spark, d):
     tf, p, _, prior, likelihood = _trained(spark, d)
-    post = bayes.posterior(_samples(spark, d), tf, prior, likelihood)
+    post = bayes.posterior(_samples(spark, d), tf, prior, stored(likelihood, "likelihood"))
     target = p.withColumn("target", F.lit(1))
     return post.join(target, "sample_id", "left").withColumn("target", F.coalesce("target", F.lit(-1)))
 
@@ -541,10 +541,10 @@ def em_converged(spark, d):
 # --- classifiers (row checks only) ---------------------------------------------
 
 
-def _vectors(spark, d, most: int = 2000):
+def _vectors(spark, d):
     tf, dim = _tf_dim(spark, d)
     w = stored(weighting.tfidf(tf, dim), "weights")
-    index = stored(classifiers.feature_index(w, most), "features")
+    index = stored(classifiers.feature_index(w), "features")
     labels = _table(spark, d, "labels").groupBy(F.col("doc_id").alias("sample_id")).agg(F.max("toxic").alias("toxic"))
     rows = classifiers.vectors(w, index, _samples(spark, d).select("sample_id")).join(labels, "sample_id", "left")
     return stored(rows.withColumn("target", F.when(F.col("toxic") == 1, 1).otherwise(-1)), "vectors")
@@ -558,7 +558,7 @@ def svm_biased_scores(spark, d):
 
 @query
 def svm_ovr_predict(spark, d):
-    rows = _vectors(spark, d, 500)
+    rows = _vectors(spark, d)
     lang = _table(spark, d, "documents").select(F.col("doc_id").alias("sample_id"), "lang")
     label = F.when(F.col("lang") == "de", 0).when(F.col("lang") == "en", 1).when(F.col("lang") == "es", 2).otherwise(3)
     train = rows.join(lang, "sample_id").withColumn("label", label)
@@ -567,10 +567,75 @@ def svm_ovr_predict(spark, d):
 
 @query
 def bagging_vote(spark, d):
-    rows = _vectors(spark, d, 500)
+    rows = _vectors(spark, d)
     return classifiers.bagging_vote(rows.filter("toxic is not null"), rows, bags=3)
 
 
+@query
+def vocabulary_weights(spark, d):
+    tf, _, p, u = _sides(spark, d)
+    return _six(learning.vocabulary_weights(learning.biased_learning(tf, p, u, u)), "weight")
+
+
+@query
+def biased_learning_recall(spark, d):
+    tf, _, p, u = _sides(spark, d)
+    return _six(evaluation.recall_at(learning.biased_learning(tf, p, u, u).scores, 20), "recall")
+
+
+@query
+def spy_svm_predictions(spark, d):
+    return _six(learning.spy_svm(*_sides(spark, d), keywords.Thresholds(0.6, 0.6, 0.01)).predictions, "score")
+
+
+@query
+def i_em_report(spark, d):
+    tf, _, p, u = _sides(spark, d)
+    return _six(learning.i_em(tf, p, u), "p_precision", "p_recall", "n_precision", "n_recall", "p_f1", "n_f1")
+
+
+@query
+def s_em_report(spark, d):
+    return _six(learning.s_em(*_sides(spark, d), limits=keywords.Thresholds(0.6, 0.6, 0.01))[1], "p_precision", "p_recall", "n_precision", "n_recall", "p_f1", "n_f1")
+
+
+@query
+def pu_keyword_ranking(spark, d):
+    return _six(learning.keyword_ranking(*_sides(spark, d), combine="sum")[1], "score")
+
+
+@query
+def pu_svm_targets(spark, d):
+    tf, dim, p, u = _sides(spark, d)
+    scores = learning.keyword_ranking(tf, dim, p, u, combine="sum")[1].withColumn("score", F.round("score", 6))
+    return learning.pu_targets(p, scores).drop("place")
+
+
+@query
+def negative_prototypes(spark, d):
+    tf, dim, p, u = _sides(spark, d)
+    split = stored(spies.spy_split(tf, p, u), "split")
+    return learning.prototypes(tf, dim, split.filter("reliable"), split.filter("not reliable"))
+
+
+@query
+def category_weight_matrix(spark, d):
+    tf, dim = _tf_dim(spark, d)
+    cats = _assigned(spark, d).select("sample_id", categories.roll_up(F.col("category_id"), 1).alias("category"))
+    return _six(keywords.category_weights(tf, dim, cats)[1], "weight")
+
+
+@query
+def multicategory_predict(spark, d):
+    tf, dim = _tf_dim(spark, d)
+    known, tests = selection.split_by_ratio(_assigned(spark, d), 0.5)
+    known = stored(known.select("sample_id", categories.roll_up(F.col("category_id"), 1).alias("category")), "known")
+    own = lambda df: df.join(known, "sample_id", "left_semi")
+    out = learning.multi_category(tf, own(dim), known, stored(tests, "tests"))
+    truth = _assigned(spark, d).select("sample_id", categories.roll_up(F.col("category_id"), 1).alias("truth"))
+    return out.join(truth, "sample_id")
+
+
 @query
 def kmeans_clusters(spark, d):
     rows = classifiers.from_arrays(_table(spark, d, "embeddings"), "embedding")

@@ -31,6 +31,19 @@ _PARTS: dict[str, tuple[tuple[str, ...], str]] = {
     "r": (("tf", "dim", "pos"), "SELECT term, n / sample_terms AS r FROM tf JOIN dim USING (sample_id) WHERE sample_id IN (SELECT sample_id FROM pos)"),
     "pop": (("r",), "SELECT term, greatest((ln(sum(r)) - sum(r * ln(r)) / sum(r)) / ln((SELECT count(*) FROM pos)), 0) AS popularity FROM r GROUP BY 1"),
     "pd": (("spec", "pop"), "SELECT term, speciality * popularity AS degree, speciality, popularity FROM spec JOIN pop USING (term)"),
+    "mem": (("own",), "SELECT sample_id, CAST(floor(category_id / 1000000.0) * 1000000 AS BIGINT) AS category FROM own"),
+    "cat0": (("tf", "mem", "dim"), "SELECT category, term, CAST(sum(n) AS DOUBLE) AS used, sum(n / sample_terms) AS s, sum(n / sample_terms * ln(n / sample_terms)) AS v FROM tf JOIN mem USING (sample_id) JOIN dim USING (sample_id) GROUP BY 1, 2"),
+    "cpd0": (
+        ("cat0", "st"),
+        "SELECT category, term, used / total AS p, coalesce((term_used - used) / nullif((SELECT sum(n) FROM tf) - total, 0), 0) AS u, CASE WHEN docs > 1 THEN greatest((ln(s) - v / s) / ln(docs), 0) ELSE 0 END AS popularity "
+        "FROM cat0 JOIN (SELECT category, sum(used) AS total FROM cat0 GROUP BY 1) USING (category) JOIN (SELECT category, CAST(count(*) AS DOUBLE) AS docs FROM mem GROUP BY 1) USING (category) JOIN st USING (term)",
+    ),
+    "cpd": (("cpd0",), "SELECT category, term, p / (p + u) AS speciality, popularity FROM cpd0"),
+    "kw": (("pd",), "SELECT term, speciality + popularity AS degree FROM pd WHERE round(speciality + popularity, 9) >= 0.4 AND round(speciality, 9) >= 0.8 AND round(popularity, 9) >= 0.01"),
+    "pus": (
+        ("dim", "kw", "unl"),
+        "SELECT sample_id, CASE WHEN sample_terms > 1 THEN coalesce(v, 0) / ln(sample_terms) ELSE 0 END AS score FROM dim JOIN unl USING (sample_id) LEFT JOIN (SELECT sample_id, sum(degree) AS v FROM (SELECT sample_id, degree, row_number() OVER (PARTITION BY sample_id ORDER BY degree, term) AS k FROM tf JOIN kw USING (term)) WHERE k <= 20 GROUP BY 1) USING (sample_id)",
+    ),
     "resp": (("s", "pos"), "SELECT sample_id, c, CASE WHEN (sample_id IN (SELECT sample_id FROM pos)) = (c = 1) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS pr FROM s, (VALUES (1), (-1)) k(c)"),
     "pc": (("resp",), "SELECT c, sum(pr) / count(*) AS pr_c FROM resp GROUP BY 1"),
     "lik0": (("tf", "resp"), "SELECT term, c, sum(n * pr) AS s FROM tf JOIN resp USING (sample_id) GROUP BY 1, 2"),
@@ -121,7 +134,7 @@ TWINS: dict[str, str] = {
     "by_category_1": _with("SELECT sample_id, category_id, floor(category_id / 1000000.0) = 2 AS is_positive FROM own", "own"),
     "by_category_2": _with("SELECT sample_id, id AS category_id, id = 2025000 AS is_positive FROM (SELECT sample_id, CASE WHEN sample_id % 3 = 0 THEN CAST(floor(category_id / 1000.0) * 1000 AS BIGINT) ELSE category_id END AS id FROM own) WHERE floor(id / 1000000.0) = 2", "own"),
     "select_terms_keep_length": _with("SELECT sample_id, term, n, sample_terms FROM tf JOIN dim USING (sample_id) WHERE term IN (SELECT term FROM st WHERE term_used >= 50)", "dim", "st"),
-    "clone_subset": _with("SELECT term, CAST(sum(n) AS BIGINT) AS term_used, count(*) AS term_samples FROM tf WHERE sample_id % 4 = 1 AND term IN (SELECT term FROM st WHERE term_samples >= 5) GROUP BY 1", "st"),
+    "clone_subset": _with("SELECT term, CAST(sum(n) AS BIGINT) AS term_used, count(*) AS term_samples FROM tf WHERE sample_id IN (SELECT sample_id FROM pos) AND term IN (SELECT term FROM st WHERE term_samples >= 5) GROUP BY 1", "st", "pos"),
     "merge_samples": _with("SELECT term, CAST(sum(n) AS BIGINT) AS term_used, count(*) AS term_samples FROM (SELECT * FROM tf WHERE sample_id NOT IN (SELECT sample_id FROM btf) UNION ALL SELECT * FROM btf) GROUP BY 1", "tf", "btf"),
     "append_samples": "SELECT sample_id, label, row_number() OVER (ORDER BY part, CAST(sample_id AS VARCHAR)) - 1 AS new_id FROM (SELECT 1 AS part, doc_id AS sample_id, 'd' || doc_id AS label FROM documents UNION ALL SELECT 2, item_id, 'b' || item_id FROM benchmark)",
     "set_difference": _with("SELECT term FROM tf EXCEPT SELECT term FROM btf", "tf", "btf"),
@@ -137,14 +150,10 @@ TWINS: dict[str, str] = {
     "pd_select": _with(f"SELECT term, {_r('degree', 'speciality', 'popularity')} FROM pd WHERE round(degree, 9) >= 0.4 AND round(speciality, 9) >= 0.8 AND round(popularity, 9) >= 0.01", "pd"),
     "pd_sum_form": _with("SELECT term, round(speciality + popularity, 6) AS degree, round(speciality, 6) AS speciality, round(popularity, 6) AS popularity FROM pd WHERE round(speciality + popularity, 9) >= 1 AND round(speciality, 9) >= 0.8 AND round(popularity, 9) >= 0.01", "pd"),
     "pd_sensitive": _with("SELECT term, round(coalesce(x, degree), 6) AS degree, round(CASE WHEN x IS NULL THEN speciality ELSE 1 END, 6) AS speciality, round(CASE WHEN x IS NULL THEN popularity ELSE 1 END, 6) AS popularity FROM pd LEFT JOIN (VALUES ('idiot', 3.0::DOUBLE), ('clown', 2.5::DOUBLE), ('the', 0.25::DOUBLE)) m(term, x) USING (term)", "pd"),
-    "pd_by_category": _with(
-        """, m AS (SELECT sample_id, CAST(floor(category_id / 1000000.0) * 1000000 AS BIGINT) AS category FROM own),
-        e AS (SELECT category, term, CAST(sum(n) AS DOUBLE) AS used, sum(n / sample_terms) AS s, sum(n / sample_terms * ln(n / sample_terms)) AS v FROM tf JOIN m USING (sample_id) JOIN dim USING (sample_id) GROUP BY 1, 2),
-        t AS (SELECT category, sum(used) AS total FROM e GROUP BY 1), c AS (SELECT category, CAST(count(*) AS DOUBLE) AS docs FROM m GROUP BY 1),
-        x AS (SELECT category, term, used / total AS p, coalesce((term_used - used) / nullif((SELECT sum(n) FROM tf) - total, 0), 0) AS u, CASE WHEN docs > 1 THEN greatest((ln(s) - v / s) / ln(docs), 0) ELSE 0 END AS popularity FROM e JOIN t USING (category) JOIN c USING (category) JOIN st USING (term))
-        SELECT category, term, round(p / (p + u) * popularity, 6) AS degree, round(p / (p + u), 6) AS speciality, round(popularity, 6) AS popularity FROM x WHERE round(popularity, 9) > 0.3""",
-        "own", "dim", "st",
-    ).replace("\n, m AS", ",\nm AS"),
+    "pd_by_category": _with("SELECT category, term, round(speciality * popularity, 6) AS degree, round(speciality, 6) AS speciality, round(popularity, 6) AS popularity FROM cpd WHERE round(popularity, 9) > 0.3", "cpd"),
+    "category_weight_matrix": _with("SELECT sample_id, category, term, round(speciality + popularity, 6) AS weight FROM tf JOIN mem USING (sample_id) JOIN cpd USING (category, term) WHERE round(speciality + popularity, 9) >= 1 AND round(speciality, 9) >= 0.8 AND round(popularity, 9) >= 0.01", "cpd"),
+    "pu_keyword_ranking": _with("SELECT sample_id, round(score, 6) AS score FROM pus", "pus"),
+    "pu_svm_targets": _with("SELECT sample_id, 1 AS label FROM pos UNION ALL (SELECT sample_id, -1 FROM pus ORDER BY round(score, 6), sample_id LIMIT (SELECT count(*) FROM pos))", "pus"),
     "sample_positive_degree": _with(
         "SELECT sample_id, round(CASE WHEN sample_terms > 1 THEN coalesce(v, 0) / ln(sample_terms) ELSE 0 END, 6) AS score FROM dim LEFT JOIN (SELECT sample_id, sum(degree) AS v FROM (SELECT sample_id, round(degree, 6) AS degree, row_number() OVER (PARTITION BY sample_id ORDER BY round(degree, 6), term) AS k FROM tf JOIN pd USING (term) WHERE round(speciality, 9) >= 0.6) WHERE k <= 20 GROUP BY 1) USING (sample_id)",
         "dim", "pd",

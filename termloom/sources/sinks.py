@@ -37,9 +37,9 @@ def svm_lines(weights: DataFrame, labels: DataFrame, include_null: bool = False)
     return rows.select("sample_id", F.rtrim(F.concat_ws(" ", F.col("label").cast("string"), F.coalesce(text, F.lit("")))).alias("line"))
 
 
-def keyword_lines(degrees: DataFrame) -> DataFrame:
+def keyword_lines(degrees: DataFrame, *keep: str) -> DataFrame:
     """degree, line of (term_id, term, degree, speciality, popularity)."""
-    return degrees.select("degree", "speciality", "popularity", "term_id", F.format_string("%d %s %.6f(%.6f,%.6f)", "term_id", "term", "degree", "speciality", "popularity").alias("line"))
+    return degrees.select(*keep, "degree", "speciality", "popularity", "term_id", F.format_string("%d %s %.6f(%.6f,%.6f)", "term_id", "term", "degree", "speciality", "popularity").alias("line"))
 
 
 def prediction_lines(scores: DataFrame) -> DataFrame:
@@ -47,6 +47,27 @@ def prediction_lines(scores: DataFrame) -> DataFrame:
     return scores.select("score", "sample_id", F.format_string("[%d]  - %s - Score: %.6f %s", "sample_id", F.col("label").cast("string"), "score", F.coalesce("title", F.lit(""))).alias("line"))
 
 
+def weight_lines(weights: DataFrame) -> DataFrame:
+    """weight, idx, line ``word(idx) weight`` of (term, idx, weight)."""
+    return weights.select("weight", "idx", F.format_string("%s(%d) %s", "term", "idx", F.col("weight").cast("string")).alias("line"))
+
+
+def vocabulary_lines(vocab: DataFrame) -> DataFrame:
+    """term_id, line ``id word pos`` of (term_id, term, pos)."""
+    return vocab.select("term_id", F.format_string("%d %s %s", "term_id", "term", F.coalesce("pos", F.lit(""))).alias("line"))
+
+
+def count_lines(tf: DataFrame, ids: DataFrame) -> DataFrame:
+    """sample_id, line ``word(id):n ...`` in order of the ids."""
+    cells = tf.join(ids, "term").groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("term_id", "term", "n"))).alias("cells"))
+    return cells.select("sample_id", F.array_join(F.transform("cells", lambda x: F.format_string("%s(%d):%d", x["term"], x["term_id"], x["n"])), " ").alias("line"))
+
+
+def projection_lines(points: DataFrame) -> DataFrame:
+    """x, y, category and title of plotted points, three decimals each."""
+    return points.select(F.format_string("%.3f", "x").alias("x"), F.format_string("%.3f", "y").alias("y"), F.col("category").alias("cat"), F.col("title").alias("t"))
+
+
 def word_lines(tokens: DataFrame) -> DataFrame:
     """sample_id, line: ``id word:pos ...`` in token order."""
     cells = tokens.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("at", "word", "pos"))).alias("cells"))
