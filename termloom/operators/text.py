@@ -27,19 +27,28 @@ def letter_words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}{2,})"), F.lit(1))
 
 
-def ngrams(text: Column, n: int = 4, most: int = 3001) -> Column:
-    """Sliding character n-grams from the first ``most`` starts."""
-    last = F.least(F.length(text) - (n - 1), F.lit(most))
-    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+def ngram_rows(samples: DataFrame, n: int = 4, most: int = 3001, run: int = 64) -> DataFrame:
+    """sample_id, pos and term of sliding character n-grams from the first
+    ``most`` starts of (sample_id, content).
+
+    A substring is found by walking over the text, so grams are cut from runs
+    of ``run`` starts, each of which is cut from the text once.
+    """
+    text = F.coalesce(F.col("content"), F.lit(""))
+    sized = samples.select("sample_id", text.alias("__text"), F.least(F.length(text) - (n - 1), F.lit(most)).alias("__last")).filter("__last >= 1")
+    runs = sized.select("sample_id", "__text", "__last", F.explode(F.sequence(F.lit(0), F.col("__last") - 1, F.lit(run))).alias("__at"))
+    parts = runs.select("sample_id", "__at", F.substring("__text", F.col("__at") + 1, F.lit(run + n - 1)).alias("__part"), F.least(F.col("__last") - F.col("__at"), F.lit(run)).alias("__count"))
+    grams = parts.select("sample_id", "__at", "__part", F.explode(F.sequence(F.lit(1), "__count")).alias("__i"))
+    return grams.select("sample_id", (F.col("__at") + F.col("__i") - 1).alias("pos"), F.substring("__part", F.col("__i"), F.lit(n)).alias("term"))
 
 
 def tokens(samples: DataFrame, method: Method = Method.LETTERS, **options) -> DataFrame:
     """sample_id, pos and term of every token of (sample_id, content)."""
     if not isinstance(method, Method):
         raise ValueError(f"unknown segmentation method {method!r}")
-    text = F.coalesce(F.col("content"), F.lit(""))
-    made = letter_words(text) if method is Method.LETTERS else ngrams(text, **options)
-    return samples.select("sample_id", F.posexplode(made).alias("pos", "term"))
+    if method is Method.NGRAM:
+        return ngram_rows(samples, **options)
+    return samples.select("sample_id", F.posexplode(letter_words(F.coalesce(F.col("content"), F.lit("")))).alias("pos", "term"))
 
 
 def term_counts(samples: DataFrame, method: Method = Method.LETTERS, **options) -> DataFrame:

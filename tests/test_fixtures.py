@@ -120,6 +120,14 @@ def test_ngrams(spark, size, grams):
     assert text.tokens(df, text.Method.NGRAM).count() == grams
 
 
+def test_ngram_places(spark):
+    words = "".join(chr(97 + (k * k) % 26) + "é"[: k % 2] for k in range(150))
+    df = spark.createDataFrame([(1, words), (2, None), (3, "abc")], "sample_id long, content string")
+    for most in (3001, 130, 64):
+        got = sorted((r["pos"], r["term"]) for r in text.tokens(df, text.Method.NGRAM, most=most).collect())
+        assert got == [(i, words[i : i + 4]) for i in range(min(most, len(words) - 3))]
+
+
 def test_unknown_method():
     with pytest.raises(ValueError):
         text.tokens(None, "jieba")
