@@ -25,9 +25,12 @@ def class_prior(resp: DataFrame) -> DataFrame:
 
 def feature_likelihood(tf: DataFrame, resp: DataFrame) -> DataFrame:
     """(1 + sum n pr) / (V + sum over all terms); V: distinct training terms."""
-    train = tf.join(resp, "sample_id").groupBy("term", "c").agg(F.sum(F.col("n") * F.col("pr")).alias("s"))
-    sums = train.groupBy("c").agg(F.sum("s").alias("all"), F.count("*").alias("v"))
-    return train.join(F.broadcast(sums), "c").select("term", "c", ((1 + F.col("s")) / (F.col("v") + F.col("all"))).alias("pr_f"))
+    share = lambda c, name: F.coalesce(F.sum(F.when(F.col("c") == c, F.col("pr"))), F.lit(0.0)).alias(name)
+    wide = resp.groupBy("sample_id").agg(share(1, "p"), share(-1, "q"))
+    train = tf.join(wide, "sample_id").groupBy("term").agg(F.sum(F.col("n") * F.col("p")).alias("p"), F.sum(F.col("n") * F.col("q")).alias("q"))
+    sums = train.agg(F.sum("p").alias("all_p"), F.sum("q").alias("all_q"), F.count("*").alias("v"))
+    one = lambda c, s, total: F.struct(F.lit(c).alias("c"), ((1 + F.col(s)) / (F.col("v") + F.col(total))).alias("pr_f"))
+    return train.crossJoin(F.broadcast(sums)).select("term", F.explode(F.array(one(1, "p", "all_p"), one(-1, "q", "all_q"))).alias("x")).select("term", "x.*")
 
 
 def posterior(samples: DataFrame, tf: DataFrame, prior: DataFrame, likelihood: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -32,10 +33,10 @@ def term_category_spread(tf: DataFrame, weights: DataFrame, categories: DataFram
     """
     common = term_stats(tf).filter(F.col("term_used") >= least_used).select("term")
     known = categories.select(F.countDistinct("category_2").alias("k"))
-    cells = tf.join(common, "term", "left_semi").join(weights, ["sample_id", "term"]).join(categories, "sample_id")
+    weighed = weights.join(common, "term", "left_semi")
+    cells = tf.join(common, "term", "left_semi").join(weighed, ["sample_id", "term"]).join(categories, "sample_id")
     each = cells.groupBy("term", "category_2").agg(F.sum("weight").alias("weight"), F.sum("n").alias("n"))
-    sums = each.groupBy("term").agg(F.sum("weight").alias("total"))
-    ratio = each.join(sums, "term").select("term", "category_2", "weight", "n", F.try_divide("weight", "total").alias("ratio"))
-    mean = ratio.groupBy("term").agg(F.sum("ratio").alias("s")).crossJoin(F.broadcast(known)).select("term", "k", (F.col("s") / F.col("k")).alias("mean"))
-    sd = ratio.join(mean, "term").groupBy("term").agg(F.sqrt(F.sum(F.pow(F.col("ratio") - F.col("mean"), 2) / F.col("k"))).alias("sd"))
-    return ratio.join(sd, "term")
+    own = W.partitionBy("term")  # a row for each category at most
+    ratio = each.withColumn("ratio", F.try_divide("weight", F.sum("weight").over(own))).crossJoin(F.broadcast(known))
+    centred = ratio.withColumn("mean", F.sum("ratio").over(own) / F.col("k"))
+    return centred.withColumn("sd", F.sqrt(F.sum(F.pow(F.col("ratio") - F.col("mean"), 2) / F.col("k")).over(own))).drop("mean", "k")

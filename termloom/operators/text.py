@@ -52,8 +52,13 @@ def tokens(samples: DataFrame, method: Method = Method.LETTERS, **options) -> Da
 
 
 def term_counts(samples: DataFrame, method: Method = Method.LETTERS, **options) -> DataFrame:
-    """sample_id, term, n."""
-    return tokens(samples, method, **options).groupBy("sample_id", "term").agg(F.count("*").alias("n"))
+    """sample_id, term, n.
+
+    Texts are dealt by sample before they are cut: one row a sample moves
+    instead of one for each of its terms, and what is then counted by sample
+    moves no more.
+    """
+    return tokens(samples.repartition("sample_id"), method, **options).groupBy("sample_id", "term").agg(F.count("*").alias("n"))
 
 
 def kept_by_pos(tagged: DataFrame, profile: str = "py") -> DataFrame:

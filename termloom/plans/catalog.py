@@ -136,7 +136,7 @@ def doc_lengths(spark, d):
 
 @query
 def document_frequency(spark, d):
-    return text.tokens(_samples(spark, d)).groupBy("term").agg(F.countDistinct("sample_id").alias("df"))
+    return counts.term_stats(_tf(spark, d)).select("term", F.col("term_samples").alias("df"))
 
 
 @query
