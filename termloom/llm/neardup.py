@@ -159,11 +159,13 @@ def _members(crowd: DataFrame) -> DataFrame:
 
     A class's score is the number of rows that share its prefix of four
     values, over all trees: the original of many changed copies has the
-    greatest of them."""
+    greatest of them.  The counts joined are tables of their own, so that both
+    sides of a join are plain exchanges and a hot key can be split."""
     crowd = crowd.select("tree", F.shiftright("k1", 32).alias("region"), "k1", "doc_id", "n")
     large = crowd.groupBy("tree", "region").agg(F.count("*").alias("c")).filter(F.col("c") > REGION).select("tree", "region")
+    large = materialize(large, "large-regions")
     rows = materialize(crowd.join(large, ["tree", "region"]), "crowded")
-    alike = rows.groupBy("tree", "k1").agg(F.count("*").alias("alike"))
+    alike = materialize(rows.groupBy("tree", "k1").agg(F.count("*").alias("alike")), "alike")
     score = rows.join(alike, ["tree", "k1"]).groupBy("doc_id").agg(F.sum("alike").alias("score"))
     return materialize(rows.drop("k1").join(score, "doc_id"), "members")
 
@@ -172,9 +174,9 @@ def _central_pairs(members: DataFrame, roots: DataFrame, percent: int) -> tuple[
     """Pairs of each region's centre with its classes of other components, and
     the members that are not in their centre's component."""
     root = F.coalesce("root", "doc_id")
-    now = members.join(roots.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").withColumn("root", root)
+    now = materialize(members.join(roots.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").withColumn("root", root), "rooted-members")
     centre = now.groupBy("tree", "region").agg(F.max(F.struct("score", (-F.col("doc_id")).alias("least"), F.col("n").alias("m"), F.col("root").alias("own"))).alias("c"))
-    centre = centre.select("tree", "region", (-F.col("c.least")).alias("centre"), F.col("c.m").alias("m"), F.col("c.own").alias("own"))
+    centre = materialize(centre.select("tree", "region", (-F.col("c.least")).alias("centre"), F.col("c.m").alias("m"), F.col("c.own").alias("own")), "centres")
     rest = materialize(now.join(centre, ["tree", "region"]).filter("root <> own"), "rest-members")
     close = rest.filter(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
     pairs = close.select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct()
