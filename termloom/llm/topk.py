@@ -59,14 +59,15 @@ class _Block:
                     yield at, ids[part], s, self.ids[at][:, None] != ids[part][None, :]
 
 
-def _histogram(vectors: DataFrame, block, lo: np.ndarray, width: np.ndarray, need: np.ndarray) -> DataFrame:
-    """query, bin and n: scores in [lo + bin * width, ...) over all rows."""
+def _histogram(vectors: DataFrame, block, lo: np.ndarray, hi: np.ndarray, width: np.ndarray, need: np.ndarray) -> DataFrame:
+    """query, bin and n: scores in [lo + bin * width, ...) below hi over all
+    rows; the last bin may reach beyond hi, where scores are counted already."""
 
     def count(batches):
         total = np.zeros((len(lo), BINS), dtype=np.int64)
         for at, _, s, other in block.value.scores(batches):
             bin_ = (s - lo[at, None]) // width[at, None]
-            ok = other & (bin_ >= 0) & (bin_ < BINS)
+            ok = other & (bin_ >= 0) & (bin_ < BINS) & (s < hi[at, None])
             flat = (np.broadcast_to(np.arange(len(at))[:, None], s.shape) * BINS + bin_)[ok]
             total[at] += np.bincount(flat, minlength=len(at) * BINS).reshape(len(at), BINS)
         above = np.cumsum(total[:, ::-1], axis=1)[:, ::-1] - total
@@ -88,7 +89,7 @@ def _thresholds(vectors: DataFrame, block, k: int, few: int = 4) -> np.ndarray:
     while open_.any():
         width = np.where(open_, np.maximum(1, -((lo - hi) // BINS)), 1)
         start = np.where(open_, lo, np.int64(2**62))
-        counts = _histogram(vectors, block, start, width, need)
+        counts = _histogram(vectors, block, start, hi, width, need)
         down = W.partitionBy("query").orderBy(F.desc("bin"))
         limits = counts.sparkSession.createDataFrame([(i, int(n)) for i, n in enumerate(need)], "query long, need long")
         kth = counts.withColumn("upto", F.sum("n").over(down)).join(F.broadcast(limits), "query").filter("upto >= need").groupBy("query").agg(F.max(F.struct("bin", "upto", "n")).alias("m")).select("query", "m.*")

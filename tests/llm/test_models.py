@@ -104,6 +104,21 @@ def test_topk_against_brute_force(spark):
     assert len(topk.top_k(df.filter("vec_id in (0, 1, 2)")).collect()) == 2
 
 
+def test_topk_in_dense_neighbourhoods_needs_more_rounds(spark):
+    rng = np.random.RandomState(9)
+    x = rng.randn(6000, 64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[::3] = x[0] + 0.01 * rng.randn(2000, 64)
+    df = spark.createDataFrame([(i, [float(v) for v in np.float32(r)]) for i, r in enumerate(x)], "vec_id long, embedding array<float>").repartition(5)
+    v = np.floor(256 * np.float32(x).astype(np.float64)).astype(np.int64)
+    want = set()
+    for q in range(0, len(v), 50):
+        s = v @ v[q]
+        near = [c for c in np.lexsort((np.arange(len(v)), -s)) if c != q][:5]
+        want |= {(q, r + 1, int(c), int(s[c])) for r, c in enumerate(near)}
+    assert {tuple(r) for r in topk.top_k(df).collect()} == want
+
+
 PII_KINDS = [
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
     ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
