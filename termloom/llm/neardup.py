@@ -10,7 +10,9 @@ region gives a number of pairs in proportion to its classes whatever its size.
 In a large region the class that shares most of its prefixes with others, its
 centre, is paired with all that are not yet linked to it, and so is the centre
 of what is then left, as long as that finds links: copies of one text with
-changes of their own are alike to that text but seldom to each other.
+changes of their own are alike to that text but seldom to each other.  What
+large regions then still hold in several components is joined on the rarest
+shingles of each set (a prefix filter, exact), so that no pair in them is lost.
 Every link is confirmed on the full shingle sets.
 """
 
@@ -26,6 +28,7 @@ from termloom.llm.sieve import sieve
 from termloom.llm.shingles import fold, shingle_sets, similar
 
 TREES, DEPTH, REGION, NEAR = 20, 3, 8, 2
+SLOT_BITS = 21
 _R = np.random.RandomState(77)
 _A = (_R.randint(0, 1 << 32, TREES * DEPTH, dtype=np.uint64) << np.uint64(32)) | _R.randint(0, 1 << 32, TREES * DEPTH, dtype=np.uint64) | np.uint64(1)
 _B = (_R.randint(0, 1 << 32, TREES * DEPTH, dtype=np.uint64) << np.uint64(32)) | _R.randint(0, 1 << 32, TREES * DEPTH, dtype=np.uint64)
@@ -183,6 +186,98 @@ def _central_pairs(members: DataFrame, roots: DataFrame, percent: int) -> tuple[
     return pairs, rest.select("tree", "region", "doc_id", "n", "score")
 
 
+def _unsettled(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """doc_id and root of the classes that share a large region with a class of
+    another component."""
+    root = F.coalesce("root", "doc_id").alias("root")
+    now = members.join(roots.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").select("tree", "region", "doc_id", root)
+    now = materialize(now, "rooted-members")
+    mixed = now.groupBy("tree", "region").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("tree", "region")
+    mixed = materialize(mixed, "mixed-regions")
+    return materialize(now.join(mixed, ["tree", "region"]).select("doc_id", "root").distinct(), "unsettled")
+
+
+def _runs(batch, size: int = 2 << 20):
+    step = max(1, int(batch.num_rows * size / max(1, batch.nbytes)))
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step)
+
+
+def _levels(texts: DataFrame, words: int) -> np.ndarray:
+    """How often the shingles of each hashed slot occur, as a logarithm: 0 for
+    once at most.  Four bits of each of the 2**SLOT_BITS slots come to the
+    driver.  Slots that shingles share make an order less sharp, never wrong."""
+
+    def count(batches):
+        import pyarrow as pa
+
+        total = np.zeros(1 << SLOT_BITS, dtype=np.int64)
+        for batch in batches:
+            for rows in _runs(batch):
+                sets = shingle_sets([fold(t) for t in rows.column(2).to_pylist()], words)
+                total += np.bincount((np.concatenate(sets) >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=len(total))
+        slot = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(total[slot])], names=["slot", "c"])
+
+    slots = texts.mapInArrow(count, "slot long, c long").groupBy("slot").agg(F.sum("c").alias("c")).filter("c > 1")
+    slots = slots.select("slot", F.least(F.floor(F.log2("c")), F.lit(15)).cast("long").alias("level"))
+    packed = slots.groupBy(F.shiftright("slot", 4).alias("w")).agg(F.bit_or(F.expr("shiftleft(level, int(4 * (slot & 15)))")).alias("m")).collect()
+    table = np.zeros(1 << (SLOT_BITS - 4), dtype=np.int64)
+    for r in packed:
+        table[r["w"]] = r["m"]
+    return ((table[:, None] >> (4 * np.arange(16))) & 15).astype(np.uint8).reshape(-1)
+
+
+def _prefixes(texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """shingle, doc_id, root, n, at and short: the rarest shingles of each set
+    (doc_id, root, text), by rank.  A set meets every alike one that is not
+    longer in its first n - percent/100 n + 1 shingles, and every one that is
+    not shorter in those marked short."""
+    held = texts.sparkSession.sparkContext.broadcast(_levels(texts, words))
+
+    def cut(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for rows in _runs(batch):
+                out = []
+                for k, own in enumerate(shingle_sets([fold(t) for t in rows.column(2).to_pylist()], words)):
+                    level = held.value[(own >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
+                    n = len(own)
+                    first = np.lexsort((own, level))[: n + (-percent * n // 100) + 1]
+                    at = np.flatnonzero(level[first])  # others occur in this set only
+                    short = at <= n + (-2 * percent * n // (100 + percent))
+                    out.append((own[first[at]].view(np.int64), np.full(len(at), k), np.full(len(at), n), at, short))
+                shingle, k, n, at, short = (np.concatenate(x) for x in zip(*out, strict=True))
+                k = pa.array(k)
+                yield pa.RecordBatch.from_arrays([pa.array(shingle), rows.column(0).take(k), rows.column(1).take(k), pa.array(n), pa.array(at), pa.array(short)], names=["shingle", "doc_id", "root", "n", "at", "short"])
+
+    return texts.mapInArrow(cut, "shingle long, doc_id long, root long, n long, at long, short boolean")
+
+
+def _exact_pairs(unsettled: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes of several components that may be alike; none
+    that is alike is left out.
+
+    A shared shingle is a candidate if what follows it in both sets suffices.
+    Of a shingle's classes only those outside its commonest component are
+    paired with all, since others would pair inside that component."""
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = sieve(named, "doc_id", unsettled.select("doc_id")).join(unsettled, "doc_id").select("doc_id", "root", F.coalesce("text", F.lit("")).alias("text"))
+    texts = materialize(texts, "unsettled-texts")
+    rows = materialize(_prefixes(texts, words, percent), "rare-shingles")
+    discard(texts)
+    counts = materialize(rows.groupBy("shingle", "root").agg(F.count("*").alias("c")), "shingle-roots")
+    major = counts.groupBy("shingle").agg(F.max(F.struct("c", "root")).alias("m"), F.count("*").alias("roots")).filter("roots > 1").select("shingle", F.col("m.root").alias("major"))
+    shared = materialize(rows.join(materialize(major, "major-roots"), "shingle"), "shared-shingles")
+    minor = materialize(shared.filter("root <> major"), "minor-shingles")
+    x, y = (d.select("shingle", *(F.col(c).alias(p + c) for c in ("doc_id", "root", "n", "at", "short"))) for d, p in ((minor, "x_"), (shared, "y_")))
+    longer = lambda p, q: F.col(f"{q}_short") & (F.col(f"{p}_n") >= F.col(f"{q}_n"))
+    left = F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at"))
+    close = (F.col("x_root") != F.col("y_root")) & (longer("x", "y") | longer("y", "x")) & ((100 + percent) * left >= percent * (F.col("x_n") + F.col("y_n"))) & (100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n"))
+    return x.join(y, "shingle").filter(close).select(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b")).distinct()
+
+
 def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
@@ -239,7 +334,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         links = materialize(links.unionByName(confirm(rest, docs, words, percent)), "links")
         roots = materialize(components(links), "roots")
     tested = pairs.select("a", "b")
-    members, idle = _members(crowd), 0
+    crowded = members = _members(crowd)
+    idle = 0
     while idle < 2 and not members.isEmpty():
         central, members = _central_pairs(members, roots, percent)
         central = materialize(central.join(tested, ["a", "b"], "left_anti"), "central-pairs")
@@ -250,6 +346,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
             idle, tested = 0, tested.unionByName(central)
             links = materialize(links.unionByName(fresh), "links")
             roots = materialize(components(links), "roots")
+    unsettled = _unsettled(crowded, roots)
+    if not unsettled.isEmpty():
+        exact = materialize(_exact_pairs(unsettled, docs, words, percent).join(tested, ["a", "b"], "left_anti"), "exact-pairs")
+        if not exact.isEmpty():
+            links = materialize(links.unionByName(confirm(exact, docs, words, percent)), "links")
+            roots = materialize(components(links), "roots")
     root_of = classes.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("n", "s1", "s2", F.coalesce("root", "rep").alias("root"))
     root_of = materialize(root_of, "class-roots")
     with_root = sketch.select("doc_id", "n", "s1", "s2").join(root_of, ["n", "s1", "s2"], "left")

@@ -73,6 +73,19 @@ def test_copies_that_are_alike_to_their_original_only(spark):
     assert {r["component_id"] for r in got} == {1000}
 
 
+def test_partners_on_a_shared_template(spark):
+    template = [f"t{k}" for k in range(344)]
+    texts = []
+    for k in range(300):
+        own = [f"o{k}x{i}" for i in range(56)]
+        texts += [" ".join(template + own), " ".join(template + own[:24] + [f"p{k}x{i}" for i in range(32)])]
+    data = list(enumerate(texts[::2] + texts[1::2]))
+    want = brute(data, 5, 80)
+    assert len({root for _, root in want.values()}) == 300
+    got = near_duplicates(spark.createDataFrame(rows([t for _, t in data]), SCHEMA), words=5).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+
+
 def test_edge_cases(nasty, empty):
     got = near_duplicates(nasty, words=5).collect()
     assert len(got) == nasty.count()
