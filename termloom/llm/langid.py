@@ -9,8 +9,11 @@ on its bytes alone, so each distinct segment of a batch is run once.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from termloom.llm.shingles import _word_hashes
@@ -149,24 +152,44 @@ class Network:
         return out, has
 
 
-def train(docs: DataFrame, sample_rows: int = 1200, seed: int = 5) -> Network | None:
-    """Fits on at most ``sample_rows`` labelled documents, spread over their
-    languages by a hash of the doc_id; never on held-out ones."""
+def sample(docs: DataFrame, sample_rows: int = 1200) -> list:
+    """lang and text of the labelled documents to train on: of each language as
+    many as an equal share of ``sample_rows`` allows (one at least), by least
+    hash of the doc_id; never held-out ones."""
     number = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.crc32(number) % 3 != 1)).select("lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)).alias("h"))
     counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
-        return None
+        return []
     each = max(1, sample_rows // len(counts))
-    shares = usable.sparkSession.createDataFrame([(k, int(min(1.0, 1.2 * each / v) * 1_000_003) + 1) for k, v in counts.items()], "lang string, most long")
-    rows = usable.join(F.broadcast(shares), "lang").filter("h < most").orderBy("h", "lang", F.xxhash64("text")).limit(sample_rows).select("lang", "text").collect()
-    languages = sorted({r["lang"] for r in rows})
+    order = ("h", F.xxhash64("text"), "text")
+
+    def least(share: dict) -> list:
+        shares = usable.sparkSession.createDataFrame([(k, int(min(1.0, x) * 1_000_003) + 1) for k, x in share.items()], "lang string, most long")
+        some = usable.join(F.broadcast(shares), "lang").filter("h < most").withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order)))
+        return some.filter(F.col("rank") <= each).select("lang", "text", "h").collect()
+
+    # Thinned to about twice the share, so that few rows are ranked; where ids repeat that may be too few.
+    rows = least({k: (2 * each + 50) / v for k, v in counts.items()})
+    got = Counter(r["lang"] for r in rows)
+    short = {k: 1.0 for k, v in counts.items() if got[k] < min(each, v)}
+    if short:
+        rows = [r for r in rows if r["lang"] not in short] + least(short)
+    return [(r["lang"], r["text"]) for r in sorted(rows, key=lambda r: (r["h"], r["lang"], r["text"]))]
+
+
+def train(docs: DataFrame, sample_rows: int = 1200, seed: int = 5) -> Network | None:
+    """Fits on ``sample``."""
+    rows = sample(docs, sample_rows)
+    if not rows:
+        return None
+    languages = sorted({lang for lang, _ in rows})
     place = {x: i for i, x in enumerate(languages)}
     segments, labels = [], []
-    for r in rows:
-        own = _segments(r["text"])
+    for lang, text in rows:
+        own = _segments(text)
         segments += own
-        labels += [place[r["lang"]]] * len(own)
+        labels += [place[lang]] * len(own)
     net = Network(languages, seed=seed)
     if segments and len(languages) > 1:
         labels = np.array(labels)

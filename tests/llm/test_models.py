@@ -48,6 +48,18 @@ def test_language_on_held_out_documents(spark):
     assert sum(r["lang_pred"] == r["lang"] for r in held) >= 0.95 * len(held)
 
 
+def test_language_sample_is_spread(spark):
+    sizes = {"a": 3000, "b": 3000, "c": 2000, "d": 2000, "e": 2000, "f": 2000, "g": 2000, "rare": 150}
+    data = [f"{lang}{k}" for lang, n in sizes.items() for k in range(n)]
+    df = spark.createDataFrame([(i, t.rstrip("0123456789"), t) for i, t in enumerate(data)], "doc_id long, lang string, text string")
+    usable = {x: sum(t.startswith(x) and zlib.crc32(str(i).encode()) % 3 != 1 for i, t in enumerate(data)) for x in sizes}
+    got = [r[0] for r in langid.sample(df, 240)]
+    assert {x: got.count(x) for x in sizes} == {x: min(30, n) for x, n in usable.items()}
+    assert langid.sample(df, 240) == langid.sample(df.repartition(3), 240)
+    same = langid.sample(df.withColumn("doc_id", F.lit(9)), 240)
+    assert [sum(r[0] == x for r in same) for x in sizes] == [30] * 8
+
+
 def test_language_edge_cases(nasty, empty):
     got = langid.identify(nasty).collect()
     assert len(got) == nasty.count()
