@@ -2,8 +2,10 @@
 
 A line's quote level is the number of ``>`` marks it starts with.  Runs of
 lines of one level are quoted passages; their normalised forms are hashed and
-joined to the messages of the same conversation that first said them.  The
-latest original of the outermost passages is the message replied to.  Threads
+joined to the messages of the same conversation that first said them, as a
+whole or by paragraphs; a passage that so finds none (a line, a sentence, a
+trimmed or re-wrapped part) is joined by its windows of words.  The latest
+original of the outermost passages is the message replied to.  Threads
 are found by doubling along these replies, and a conversation's messages are
 rendered thread after thread, quotes and their attribution lines left out.
 """
@@ -18,6 +20,7 @@ from termloom.llm.common import discard, materialize
 
 MARKS = r"^(?:[\x20\t]*>)+"
 ATTRIBUTION = r"^[\x20\t]*(?:On\b.{1,200}\bwrote|.{1,120}\b(?:wrote|writes|said))[\x20\t]*:[\x20\t]*$"
+WINDOW = 5
 _LINES = "array<struct<level:int,body:string>>"
 
 
@@ -64,6 +67,14 @@ def _units(text: Column) -> Column:
     return F.transform(F.filter(parts, lambda x: x != ""), lambda x: F.md5(x))
 
 
+def _windows(text: Column) -> Column:
+    """Hashes of a passage's runs of WINDOW words, wherever its lines end."""
+    words = F.split(_normal(text), " ")
+    count = F.size(words) - (WINDOW - 1)
+    each = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(words, i, WINDOW), " ")))
+    return F.when(count > 0, F.array_distinct(each)).otherwise(F.array().cast("array<bigint>"))
+
+
 def parse(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, body (own text) and passages of each message."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -77,15 +88,35 @@ def parse(messages: DataFrame) -> DataFrame:
     )
 
 
-def links(parsed: DataFrame) -> DataFrame:
-    """conv_id, turn, level, passage and original: where each quoted passage
-    that an earlier message of the conversation said was said first."""
-    quoted = parsed.filter(F.size("passages") > 0).select("conv_id", "turn", F.posexplode("passages").alias("passage", "p")).select("conv_id", "turn", "passage", F.col("p.level").alias("level"), F.explode(_units(F.col("p.body"))).alias("hash"))
-    quoted = materialize(quoted.filter("conv_id is not null and turn is not null").distinct(), "quoted")
+def _originals(quoted: DataFrame, said: DataFrame) -> DataFrame:
+    """``quoted`` (conv_id, turn, hash, ...) with original: the turn that said
+    the hash first, if it is an earlier one."""
     wanted = quoted.select("conv_id", "hash").distinct()
-    said = parsed.filter("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode(_units(F.col("body"))).alias("hash")).join(wanted, ["conv_id", "hash"], "left_semi")
+    said = said.join(wanted, ["conv_id", "hash"], "left_semi")
     first = materialize(said.groupBy("conv_id", "hash").agg(F.min("turn").alias("original")), "originals")
-    return quoted.join(first, ["conv_id", "hash"]).filter("original < turn").groupBy("conv_id", "turn", "level", "passage").agg(F.max("original").alias("original"))
+    return quoted.join(first, ["conv_id", "hash"]).filter("original < turn")
+
+
+def links(parsed: DataFrame) -> DataFrame:
+    """conv_id, turn, level, passage and original: where each quoted passage
+    that an earlier message of the conversation said was said first.
+
+    Of its whole and its paragraphs the latest original counts; if they have
+    none, the message that first said most of its windows, of several the
+    latest.  A part of a paragraph of fewer than WINDOW words has no link."""
+    parsed = parsed.filter("conv_id is not null and turn is not null")
+    places = ["conv_id", "turn", "level", "passage"]
+    passages = parsed.filter(F.size("passages") > 0).select("conv_id", "turn", F.posexplode("passages").alias("passage", "p")).select("conv_id", "turn", "passage", F.col("p.level").alias("level"), F.col("p.body").alias("quote"))
+    quoted = materialize(passages.select(*places, F.explode(_units(F.col("quote"))).alias("hash")).distinct(), "quoted")
+    said = parsed.select("conv_id", "turn", F.explode(_units(F.col("body"))).alias("hash"))
+    whole = materialize(_originals(quoted, said).groupBy(*places).agg(F.max("original").alias("original")), "whole-links")
+    rest = passages.distinct().join(whole.select(*places), places, "left_anti")
+    rest = materialize(rest.select(*places, F.explode(_windows(F.col("quote"))).alias("hash")).distinct(), "quoted-windows")
+    own = parsed.join(rest.select("conv_id").distinct(), "conv_id", "left_semi")
+    said = own.select("conv_id", "turn", F.explode(_windows(F.col("body"))).alias("hash"))
+    votes = _originals(rest, said).groupBy(*places, "original").agg(F.count("*").alias("n"))
+    parts = votes.groupBy(*places).agg(F.max(F.struct("n", "original")).alias("m")).select(*places, F.col("m.original").alias("original"))
+    return whole.unionByName(parts)
 
 
 def _roots(replies: DataFrame, max_rounds: int = 40) -> DataFrame:

@@ -92,3 +92,20 @@ def test_against_brute_force(spark):
     got = sorted((tuple(r) for r in quotes.reply_ordered(df).collect()), key=str)
     assert got == brute(rows)
     assert sum(r[8] > 0 for r in got) > 60 and max(r[6] for r in got) > 3
+
+
+def test_partial_quotes(spark):
+    first = "We met on Tuesday to plan the release. The old server will be\nswitched off at the end of March, and all jobs move.\nPlease tell me what you need before that day comes.\n\nThanks to all of you."
+    data = [
+        (1, 0, "a", first),
+        (1, 1, "b", "An unrelated message about quite another matter altogether."),
+        (1, 2, "c", "> Please tell me what you need before that day comes.\nTwo days."),
+        (1, 3, "d", "> The old server will be switched off at the\n> end of March, and all jobs move.\nFine."),
+        (1, 4, "e", "> [...] to plan the release. The old\nGood.\n> you need before that day\nNothing."),
+        (1, 5, "f", "> words that nobody in here has ever said\nSo?"),
+        (2, 0, "a", "Nothing of the kind."),
+        (2, 1, "b", "> Please tell me what you need before that day comes.\nx"),
+    ]
+    df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string")
+    got = {(r["conv_id"], r["turn"]): (r["parent"], r["depth"], r["n_linked"]) for r in quotes.reply_ordered(df).collect()}
+    assert got == {(1, 0): (None, 0, 0), (1, 1): (None, 0, 0), (1, 2): (0, 1, 1), (1, 3): (0, 1, 1), (1, 4): (0, 1, 2), (1, 5): (None, 0, 0), (2, 0): (None, 0, 0), (2, 1): (None, 0, 0)}
