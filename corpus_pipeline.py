@@ -30,8 +30,9 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of eight words of any benchmark item."""
-    found = decontam.contamination(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"), min_items=1)
+    """Documents without a window of eight words of any benchmark item and
+    with one shorter item at most."""
+    found = decontam.contamination(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"), full_suffices=True)
     return found.filter("not contaminated").select(*COLUMNS)
 
 

@@ -94,6 +94,7 @@ class Index:
 
     def __init__(self, items: list[tuple[str, str | None]], width: int = WINDOW):
         self.number: dict[bytes, int] = {}
+        self.width = width
         windows: dict[int, dict[tuple[int, ...], set[str]]] = {}
         for name, text in items:
             own = [self.number.setdefault(w, len(self.number) + 1) for w in words(text)]
@@ -104,8 +105,9 @@ class Index:
                 windows.setdefault(length, {}).setdefault(tuple(own[i : i + length]), set()).add(name)
         self.groups = [(Strings(np.array(list(w), dtype=np.int32)), [sorted(x) for x in w.values()]) for w in windows.values()]
 
-    def scan(self, texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], list[set[str]]]:
-        """Words of each text, its hit word positions, its items.  Texts are folded bytes."""
+    def scan(self, texts: list[bytes], full: np.ndarray | None = None) -> tuple[np.ndarray, list[np.ndarray], list[set[str]]]:
+        """Words of each text, its hit word positions, its items.  Texts are folded
+        bytes.  ``full`` is set where a window of the whole width occurs."""
         flat: list[bytes] = []
         counts = np.zeros(len(texts), dtype=np.int64)
         for i, t in enumerate(texts):
@@ -122,6 +124,8 @@ class Index:
             np.add.at(mark, ends - strings.length + 1, 1)
             np.add.at(mark, ends + 1, -1)
             doc = np.searchsorted(starts, ends, "right") - 1
+            if full is not None and strings.length == self.width:
+                full[doc] = True
             for d, s in set(zip(doc.tolist(), which.tolist(), strict=True)):
                 items[d].update(names[s])
         hit = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
@@ -143,11 +147,12 @@ def benchmark_blocks(benchmark: DataFrame, width: int = WINDOW, block_bytes: int
         yield Index(items, width)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, min_items: int = 2, width: int = WINDOW) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, min_items: int = 2, width: int = WINDOW, full_suffices: bool = False) -> DataFrame:
     """``docs`` with n_words, n_hit, items and contaminated, no row moved.
 
     items are the sorted ids of benchmark items of which a window occurs;
-    contaminated means ``min_items`` of them or more.  Null or wordless texts
+    contaminated means ``min_items`` of them or more or, if ``full_suffices``, one
+    of ``width`` words or more.  Null or wordless texts
     have no words and no hits; null or wordless items never occur; rows of one
     item_id are one item; without any item nothing is contaminated.  Columns
     of ``docs`` that have the new names are replaced.  A benchmark over
@@ -165,15 +170,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, min_items: int = 2, wid
             for rows in _slices(batch):
                 texts = [(t or "").encode().translate(_FOLD) for t in rows.column(rows.schema.get_field_index("text")).to_pylist()]
                 n_words = hits = items = None
+                full = np.zeros(len(texts), dtype=bool)
                 for index in held:
-                    n_words, own, got = index.value.scan(texts)
+                    n_words, own, got = index.value.scan(texts, full)
                     hits = own if hits is None else [np.union1d(a, b) for a, b in zip(hits, own, strict=True)]
                     items = got if items is None else [a | b for a, b in zip(items, got, strict=True)]
                 if n_words is None:
                     n_words, hits, items = np.array([len(t.split()) for t in texts], dtype=np.int64), [()] * len(texts), [()] * len(texts)
                 columns = [rows.column(rows.schema.get_field_index(f.name)) for f in keep]
                 yield pa.RecordBatch.from_arrays(
-                    [*columns, pa.array(n_words, pa.int64()), pa.array([len(x) for x in hits], pa.int64()), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array([len(x) >= min_items for x in items], pa.bool_())],
+                    [*columns, pa.array(n_words, pa.int64()), pa.array([len(x) for x in hits], pa.int64()), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array([len(x) >= min_items or bool(full_suffices and f) for x, f in zip(items, full, strict=True)], pa.bool_())],
                     names=[*(f.name for f in keep), *new],
                 )
 

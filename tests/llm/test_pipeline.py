@@ -26,3 +26,12 @@ def test_stages_take_an_empty_table(spark):
     docs = spark.read.parquet(f"{d}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, d).collect() == []
+
+
+def test_a_short_item_alone_removes_nothing(spark, tmp_path):
+    item = "one two three four five six seven eight"
+    texts = ["yes it is", "the answer is yes", f"see {item} here", "one two three four five six seven", None]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    bench = [(1, "yes"), (2, "the answer"), (3, item), (4, "")]
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert sorted(r["doc_id"] for r in corpus_pipeline.decontaminate_stage(spark, docs, str(tmp_path)).collect()) == [0, 3, 4]
