@@ -29,7 +29,7 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 NATIONAL = r"(?<![0-9A-Za-z+.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[.-][0-9]{4}(?![0-9A-Za-z-])"
 SPELLED = r"[A-Za-z0-9._%+-]{1,64}+\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]{1,63}+(?:\x20?[\[(](?:dot|DOT)[\])]\x20?[A-Za-z0-9-]{1,63}+|\.[A-Za-z0-9-]{1,63}+){1,8}+"
-SECRET = r"(?<![0-9A-Za-z_-])(?:[0-9a-f]{32,64}+|(?:sk|pk|ghp|AKIA|xox[abp])[_-]?[0-9A-Za-z_-]{16,64}+)(?![0-9A-Za-z_-])"
+SECRET = r"(?<![0-9A-Za-z_-])(?:[0-9a-f]{32,}+|(?:sk|pk|ghp|AKIA|xox[abp])[_-]?[0-9A-Za-z_-]{16,}+)(?![0-9A-Za-z_-])"
 
 DOMAINS = r"(?i)\.(?:com|org|net|edu|gov|io|de|fr|es|uk|eu|info|example|test)$"
 CUES = {
@@ -130,7 +130,7 @@ def propose(docs: DataFrame) -> DataFrame:
         "__tl_m3": _matches(text, PHONE, text.contains("+") & digit),
         "__tl_m4": _matches(text, NATIONAL, guards["national"]),
         "__tl_m5": _matches(text, SPELLED, text.rlike(r"[\[(](?:at|AT)[\])]")),
-        "__tl_m6": _matches(text, SECRET, text.rlike(r"[0-9A-Za-z_-]{20}")),
+        "__tl_m6": _matches(text, SECRET, text.rlike(r"[0-9A-Za-z_-]{18}")),
     }
     found = docs.withColumns(raw)
     kinds = (("email", 0, yes), ("ip", 1, _valid_ip), ("card", 2, _valid_card), ("phone", 3, _valid_phone), ("phone", 4, no), ("email", 5, no), ("secret", 6, no))

@@ -165,6 +165,13 @@ def test_pii_against_brute_force(spark, nasty, empty):
     assert pii.pii_digest(nasty).count() == nasty.count() and pii.pii_digest(empty).collect() == []
 
 
+def test_short_and_long_secrets_are_proposed(spark):
+    keys = ["sk" + "a1B2" * 4, "pk_" + "c3D4" * 4, "ghp" + "e5F6" * 4, "sk-" + "a1B2" * 20, "0a9f" * 32]
+    texts = [f"key: {k} ." for k in keys]
+    got = {r["doc_id"]: r["__tl_extra"] for r in pii.propose(spark.createDataFrame(rows(texts), SCHEMA)).collect()}
+    assert [[(x["s"], x["e"]) for x in got[i] if x["k"] == 4] for i in range(len(keys))] == [[(5, 5 + len(k))] for k in keys]
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame(rows(["é me@x.org and +1 (366) 555-9807.", None, "clean", "1.2.3.4@x.y"]), SCHEMA)
     got = {r["doc_id"]: r["text"] for r in pii.redact(pii.find_pii(docs)).collect()}
