@@ -1,10 +1,12 @@
 """Language identification with a bidirectional gated recurrent network.
 
 The network reads the bytes of a segment (a word, or 24 bytes of a longer
-one) in both directions, gives every position a distribution over languages,
-and a document's distribution is the mean over all its positions.  It is
-trained in numpy by backpropagation through time.  A segment's result depends
-on its bytes alone, so each distinct segment of a batch is run once.
+one) in both directions, labels every position of it with a distribution over
+languages, and a document's distribution is the mean over all its positions.
+The state starts anew at every segment, and the white space between words has
+no label.  It is trained in numpy by backpropagation through time.  A
+segment's result depends on its bytes alone, so each distinct segment of a
+batch is run once.
 """
 
 from __future__ import annotations
@@ -16,16 +18,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from termloom.llm.shingles import _word_hashes
+from termloom.llm.shingles import slices, word_spans
 
 LONGEST = 24
 _GAP = bytes(32 if b == 32 or 9 <= b <= 13 else b for b in range(256))
 
 
+def _cut(word: bytes) -> list[bytes]:
+    return [word[i : i + LONGEST] for i in range(0, len(word), LONGEST)]
+
+
 def _segments(text: str) -> list[bytes]:
+    return [s for w in text.encode().translate(_GAP).split() for s in _cut(w)]
+
+
+def _drawn(text: str, most: int) -> list[bytes]:
+    """``most`` segments spread evenly over the whole text, all if it has fewer."""
+    joined, begin, end, _, _ = word_spans([text.encode().translate(_GAP)])
+    pieces = -(-(end - begin) // LONGEST)
+    upto = np.cumsum(pieces)
+    total = int(upto[-1]) if len(upto) else 0
     out = []
-    for w in text.encode().translate(_GAP).split():
-        out += [w] if len(w) <= LONGEST else [w[i : i + LONGEST] for i in range(0, len(w), LONGEST)]
+    for k in (np.arange(min(most, total)) * total // max(1, min(most, total))).tolist():
+        w = int(np.searchsorted(upto, k, "right"))
+        at = int(begin[w]) + (k - int(upto[w] - pieces[w])) * LONGEST
+        out.append(joined[at : min(at + LONGEST, int(end[w]))])
     return out
 
 
@@ -131,68 +148,80 @@ class Network:
 
     def documents(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Mean distribution of each text, and whether it has a letter."""
-        folded = [(t or "").encode().translate(_GAP) for t in texts]
         has = np.array([bool(t) and any(map(str.isalpha, t)) for t in texts])
-        hashes, counts = _word_hashes(folded)
-        flat = [w for f in folded for w in f.split()]
+        joined, begin, end, hashes, counts = word_spans([(t or "").encode().translate(_GAP) for t in texts])
         _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        words = [flat[i] for i in first.tolist()]
-        cut = [i for i, w in enumerate(words) if len(w) > LONGEST]
-        sums = self.pooled([b"" if len(w) > LONGEST else w for w in words])
-        if cut:
-            parts = [[words[i][k : k + LONGEST] for k in range(0, len(words[i]), LONGEST)] for i in cut]
-            got = self.pooled([p for x in parts for p in x])
-            sums[cut] = np.add.reduceat(got, np.concatenate([[0], np.cumsum([len(x) for x in parts])])[:-1], axis=0)
-        size = np.fromiter(map(len, words), dtype=np.float64, count=len(words))
+        size = (end - begin)[first]
+        pieces = -(-size // LONGEST)
+        segments = [s for a, b in zip(begin[first].tolist(), end[first].tolist(), strict=True) for s in _cut(joined[a:b])]
         out = np.zeros((len(texts), len(self.languages)))
         full = np.flatnonzero(counts)
         if len(full):
+            sums = np.add.reduceat(self.pooled(segments), np.cumsum(pieces) - pieces, axis=0)
             start = (np.cumsum(counts) - counts)[full]
-            out[full] = np.add.reduceat(sums[inverse].astype(np.float64), start, axis=0) / np.add.reduceat(size[inverse], start)[:, None]
+            total = np.add.reduceat(size[inverse].astype(np.float64), start)
+            for k in range(len(self.languages)):
+                out[full, k] = np.add.reduceat(sums[:, k].astype(np.float64)[inverse], start) / total
         return out, has
 
 
-def sample(docs: DataFrame, sample_rows: int = 1200) -> list:
-    """lang and text of the labelled documents to train on: of each language as
-    many as an equal share of ``sample_rows`` allows (one at least), by least
-    hash of the doc_id; never held-out ones."""
+def sample(docs: DataFrame, sample_rows: int = 1200, sample_segments: int = 400) -> list[tuple[str, list[bytes]]]:
+    """lang and segments of the labelled documents to train on: of each language
+    as many distinct texts as an equal share of ``sample_rows`` allows (one at
+    least), by least hash of the doc_id; never held-out ones.  A text gives
+    ``sample_segments`` of its segments, spread over all of it.
+
+    Hashes alone are ranked; the texts they name are cut where they lie, so
+    what comes to the driver is bounded by the two numbers whatever the length
+    of a text.
+    """
+    spark = docs.sparkSession
     number = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.crc32(number) % 3 != 1)).select("lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)).alias("h"))
+    usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.crc32(number) % 3 != 1))
+    usable = usable.select("lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)).alias("h"), F.xxhash64("text").alias("t"))
     counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return []
     each = max(1, sample_rows // len(counts))
-    order = ("h", F.xxhash64("text"), "text")
 
-    def least(share: dict) -> list:
-        shares = usable.sparkSession.createDataFrame([(k, int(min(1.0, x) * 1_000_003) + 1) for k, x in share.items()], "lang string, most long")
-        some = usable.join(F.broadcast(shares), "lang").filter("h < most").withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order)))
-        return some.filter(F.col("rank") <= each).select("lang", "text", "h").collect()
+    def least(share: dict) -> list[tuple]:
+        shares = spark.createDataFrame([(k, int(min(1.0, x) * 1_000_003) + 1) for k, x in share.items()], "lang string, most long")
+        some = usable.join(F.broadcast(shares), "lang").filter("h < most").select("lang", "h", "t").distinct()
+        some = some.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("h", "t")))
+        return [(r["lang"], r["h"], r["t"]) for r in some.filter(F.col("rank") <= each).collect()]
 
-    # Thinned to about twice the share, so that few rows are ranked; where ids repeat that may be too few.
+    # Thinned to about twice the share, so that few rows are ranked; where ids or texts repeat that may be too few.
     rows = least({k: (2 * each + 50) / v for k, v in counts.items()})
-    got = Counter(r["lang"] for r in rows)
+    got = Counter(r[0] for r in rows)
     short = {k: 1.0 for k, v in counts.items() if got[k] < min(each, v)}
     if short:
-        rows = [r for r in rows if r["lang"] not in short] + least(short)
-    return [(r["lang"], r["text"]) for r in sorted(rows, key=lambda r: (r["h"], r["lang"], r["text"]))]
+        rows = [r for r in rows if r[0] not in short] + least(short)
+    chosen = spark.createDataFrame(rows, "lang string, h long, t long")
+
+    def draw(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for part in slices(batch):
+                drawn = [_drawn(t, sample_segments) for t in part.column(3).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(drawn, pa.list_(pa.binary()))], names=["lang", "h", "t", "segments"])
+
+    texts = usable.select("lang", "h", "t", "text").join(F.broadcast(chosen), ["lang", "h", "t"]).select("lang", "h", "t", "text")
+    cut = texts.mapInArrow(draw, "lang string, h long, t long, segments array<binary>").groupBy("lang", "h", "t").agg(F.first("segments").alias("segments"))
+    return [(r["lang"], [bytes(x) for x in r["segments"]]) for r in sorted(cut.collect(), key=lambda r: (r["h"], r["lang"], r["t"]))]
 
 
-def train(docs: DataFrame, sample_rows: int = 1200, seed: int = 5) -> Network | None:
+def train(docs: DataFrame, sample_rows: int = 1200, sample_segments: int = 400, seed: int = 5) -> Network | None:
     """Fits on ``sample``."""
-    rows = sample(docs, sample_rows)
+    rows = sample(docs, sample_rows, sample_segments)
     if not rows:
         return None
     languages = sorted({lang for lang, _ in rows})
     place = {x: i for i, x in enumerate(languages)}
-    segments, labels = [], []
-    for lang, text in rows:
-        own = _segments(text)
-        segments += own
-        labels += [place[lang]] * len(own)
+    segments = [s for _, own in rows for s in own]
+    labels = np.repeat([place[lang] for lang, _ in rows], [len(own) for _, own in rows])
     net = Network(languages, seed=seed)
     if segments and len(languages) > 1:
-        labels = np.array(labels)
         share = np.bincount(labels, minlength=len(languages))
         rng = np.random.RandomState(seed)
         at = np.concatenate([rng.choice(np.flatnonzero(labels == k), 20_000) for k in range(len(languages)) if share[k]])
@@ -200,15 +229,19 @@ def train(docs: DataFrame, sample_rows: int = 1200, seed: int = 5) -> Network |
     return net
 
 
-def identify(docs: DataFrame, sample_rows: int = 1200) -> DataFrame:
+def identify(docs: DataFrame, sample_rows: int = 1200, sample_segments: int = 400) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every row.
 
     A text that is null or without letters is ``und`` with score 0; so is
     every text if no row has a label.  score is the document's mean
     probability of lang_pred.  A null doc_id counts as held in (crc32 of the
-    empty text).  Only doc_id, text and, for training, lang are read.
+    empty text).  A text is read whole whatever its length, about a megabyte
+    of texts (or one longer text) at a time.  Repeated rows are answered each,
+    all alike; an empty table gives no rows; of equal probabilities the first
+    language in the order of their names is taken.  Only doc_id, text and, for
+    training, lang are read, so other columns never clash.
     """
-    net = train(docs, sample_rows)
+    net = train(docs, sample_rows, sample_segments)
     held = docs.sparkSession.sparkContext.broadcast(net)  # a few ten thousand numbers
 
     def predict(batches):
@@ -216,9 +249,7 @@ def identify(docs: DataFrame, sample_rows: int = 1200) -> DataFrame:
 
         model = held.value
         for batch in batches:
-            step = max(1, int(batch.num_rows * (8 << 20) / max(1, batch.nbytes)))
-            for at in range(0, batch.num_rows, step):
-                rows = batch.slice(at, step)
+            for rows in slices(batch):
                 n = rows.num_rows
                 names, score = ["und"] * n, np.zeros(n)
                 if model is not None:

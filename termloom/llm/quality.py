@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.shingles import _word_hashes
+from termloom.llm.shingles import slices, word_spans
 
 BUCKETS = 1 << 14
 SHAPES = 256
@@ -34,12 +34,8 @@ def _level(share: np.ndarray) -> np.ndarray:
 def text_features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Feature numbers of all words (one row a word: bucket, shape) and words a text."""
     folded = [(t or "").encode().translate(_GAP) for t in texts]
-    hashes, counts = _word_hashes(folded)
-    data = np.frombuffer(b" " + b" ".join(folded) + b" ", dtype=np.uint8)
-    gap = data == 32
-    edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
-    begin, end = edge[::2], edge[1::2]
-    kind = _KIND[data]
+    joined, begin, end, hashes, counts = word_spans(folded)
+    kind = _KIND[np.frombuffer(joined, dtype=np.uint8)]
     part = lambda k: (lambda c: c[end] - c[begin])(np.concatenate([[0], np.cumsum(kind == k)]))
     size = np.maximum(end - begin, 1)
     shape = (_level(part(0) / size) * 4 + _level(part(2) / size)) * 4 + _level(part(3) / size)

@@ -10,18 +10,24 @@ _RANDOM = np.random.RandomState(20240229)
 _BYTE = (_RANDOM.randint(0, 1 << 32, 256, dtype=np.uint64) << np.uint64(32)) | _RANDOM.randint(0, 1 << 32, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
 _POSITION = (_RANDOM.randint(0, 1 << 32, 64, dtype=np.uint64) << np.uint64(32)) | _RANDOM.randint(0, 1 << 32, 64, dtype=np.uint64) | np.uint64(1)
-_POWERS: list[np.ndarray] = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
+_KEPT = 5 << 18  # of slices up to this many bytes the powers are kept, those of longer ones go
+_POWERS: list[np.ndarray] = []
+
+
+def _series(base: int, n: int) -> np.ndarray:
+    x = np.full(n, base, dtype=np.uint64)
+    x[0] = 1
+    return np.multiply.accumulate(x, out=x)
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the odd base and of its inverse, modulo 2**64."""
-    if len(_POWERS[0]) < n:
-        inverse = pow(_BASE, -1, 1 << 64)
-        for k, base in enumerate((_BASE, inverse)):
-            x = np.full(max(n, 1 << 20), base, dtype=np.uint64)
-            x[0] = 1
-            _POWERS[k] = np.multiply.accumulate(x)
-    return _POWERS[0][:n], _POWERS[1]
+    """``n`` powers of the odd base and of its inverse, modulo 2**64."""
+    inverse = pow(_BASE, -1, 1 << 64)
+    if n > _KEPT:
+        return _series(_BASE, n), _series(inverse, n)
+    if not _POWERS:
+        _POWERS.extend((_series(_BASE, _KEPT), _series(inverse, _KEPT)))
+    return _POWERS[0][:n], _POWERS[1][:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -36,9 +42,27 @@ def fold(text: str | None) -> bytes:
     return (text or "").encode().translate(_FOLD)
 
 
-def _word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word of all texts, and the number of words in each text."""
-    data = np.frombuffer(b" " + b" ".join(texts) + b" ", dtype=np.uint8)
+def slices(batch, size: int = 1 << 20):
+    """Runs of a record batch's rows of about ``size`` bytes; a longer row is a run of its own."""
+    import pyarrow.compute as pc
+
+    each = np.zeros(batch.num_rows, dtype=np.int64)
+    for column in batch.columns:
+        kind = str(column.type)
+        if kind in ("string", "binary", "large_string", "large_binary"):
+            each += np.asarray(pc.fill_null(pc.binary_length(column), 0), dtype=np.int64)
+    ends = np.cumsum(each + 16)
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def word_spans(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The joined texts, start, end and hash of each word in them, and the number of words in each text."""
+    joined = b" " + b" ".join(texts) + b" "
+    data = np.frombuffer(joined, dtype=np.uint8)
     gap = data == 32
     edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
     begin, end = edge[::2], edge[1::2]
@@ -48,7 +72,12 @@ def _word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     words = mix((total[end] - total[begin]) * inverse[begin] + (end - begin).astype(np.uint64))
     lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
     bounds = np.concatenate([[0], np.cumsum(lengths + 1)])
-    return words, np.diff(np.searchsorted(begin, bounds + 1))
+    return joined, begin, end, words, np.diff(np.searchsorted(begin, bounds + 1))
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word of all texts, and the number of words in each text."""
+    return word_spans(texts)[3:]
 
 
 def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
@@ -64,7 +93,7 @@ def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
         while to < len(texts) and (to == at or size + len(texts[to]) < 1 << 20):
             size += len(texts[to]) + 1
             to += 1
-        words, counts = _word_hashes(texts[at:to])
+        words, counts = word_hashes(texts[at:to])
         rows = max(0, len(words) - n + 1)
         h = np.zeros(rows, dtype=np.uint64)
         for k in range(n):

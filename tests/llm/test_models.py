@@ -40,6 +40,47 @@ def test_pooling_a_document_is_pooling_its_segments():
     assert has.tolist() == [True, False, False, False, True]
 
 
+def plain_gru(p, word, d):
+    """States of one direction over one segment, byte after byte."""
+    H = p["u" + d].shape[0]
+    h, out = np.zeros(H), []
+    for byte in word if d == "f" else word[::-1]:
+        a, g = p["x" + d][byte] + p["c" + d], h @ p["u" + d]
+        z, r = (1 / (1 + np.exp(-(a[k : k + H] + g[k : k + H]))) for k in (0, H))
+        h = (1 - z) * np.tanh(a[2 * H :] + r * g[2 * H :]) + z * h
+        out.append(h)
+    return out if d == "f" else out[::-1]
+
+
+def test_documents_against_a_plain_loop():
+    net = langid.Network(["a", "b", "c"], hidden=4)
+    p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    texts = ["The naïve\tfox  the fox", "é" * 40 + " x", " lone "]
+    got, _ = net.documents(texts)
+    for text, row in zip(texts, got, strict=True):
+        each = []
+        for word in text.encode().split():
+            for k in range(0, len(word), langid.LONGEST):
+                own = word[k : k + langid.LONGEST]
+                for f, b in zip(plain_gru(p, own, "f"), plain_gru(p, own, "b"), strict=True):
+                    e = np.exp(np.concatenate([f, b]) @ p["o"] + p["b"])
+                    each.append(e / e.sum())
+        assert row == pytest.approx(np.mean(each, axis=0), rel=1e-4)
+
+
+def test_language_of_a_very_long_text_and_of_repeats(spark):
+    words = {"en": "the house of the old man was there".split(), "es": "la casa del hombre viejo estaba cerca".split()}
+    data = [(k, lang, " ".join(w[(k * 7 + j) % len(w)] for j in range(30))) for k, (lang, w) in enumerate([*words.items()] * 60)]
+    long = [(900, None, " ".join(words["es"] * 40_000)), (901, None, "x" * 2_000_000), (902, None, data[1][2]), (902, None, data[1][2])]
+    docs = spark.createDataFrame(data + long, "doc_id long, lang string, text string")
+    got = langid.identify(docs).filter("doc_id >= 900").collect()
+    by = {r["doc_id"]: r["lang_pred"] for r in got}
+    assert len(got) == 4 and by[900] == "es" and by[902] == "es" and by[901] in words
+    drawn = dict(langid.sample(docs, 2, 5))
+    assert {k: len(v) for k, v in drawn.items()} == {"en": 5, "es": 5}
+    assert langid._drawn("a b c d e f g h", 4) == [b"a", b"c", b"e", b"g"] and langid._drawn(" ", 4) == []
+
+
 def test_language_on_held_out_documents(spark):
     docs = spark.read.parquet(f"{D}/documents.parquet")
     out = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
