@@ -135,28 +135,44 @@ def test_meta_view_sees_no_words():
 
 
 def brute_topk(data, k=5):
-    v = {i: [int(np.floor(256 * float(x))) for x in e] for i, e in data if i is not None and e is not None and all(x is not None and np.isfinite(x) for x in e)}
-    out = set()
-    for q in v:
-        if q % 50 == 0:
-            scored = sorted((-sum(a * b for a, b in zip(v[q], v[c], strict=True)), c) for c in v if c != q and len(v[c]) == len(v[q]))
-            out |= {(q, r + 1, c, -s) for r, (s, c) in enumerate(scored[:k])}
-    return out
+    v = [(i, [int(np.floor(256 * float(x))) for x in e]) for i, e in data if e is not None and all(x is not None and np.isfinite(x) for x in e)]
+    out = []
+    for at, (q, x) in enumerate(v):
+        if q is not None and q % 50 == 0:
+            scored = sorted(((-sum(a * b for a, b in zip(x, y, strict=True)), c is None, c or 0, c) for i, (c, y) in enumerate(v) if i != at and len(y) == len(x)), key=lambda r: r[:3])
+            out += [(q, r + 1, c, -s) for r, (s, _, _, c) in enumerate(scored[:k])]
+    return sorted(out, key=str)
 
 
 def test_topk_against_brute_force(spark):
     rng = np.random.RandomState(4)
-    data = [(i, [float(np.float32(x)) for x in rng.randn(6)]) for i in range(160)]
+    draw = lambda n=6: [float(np.float32(x)) for x in rng.randn(n)]
+    data = [(i, draw()) for i in range(160)]
     data += [(i, data[7][1]) for i in range(160, 300)]  # one vector very often
     data += [(300, None), (301, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (302, [float("nan")] * 6), (350, [float("inf")] * 6), (400, [0.5, 0.5]), (401, [0.5, -0.5]), (None, [1.0] * 6), (450, [])]
+    data += [(3, [9.0] * 6), (3, [8.0] * 6), (50, data[50][1]), (50, draw()), (None, [9.0] * 6), (None, [9.0] * 6), (500, draw(3000)), (501, draw(3000)), (None, None)]
     df = spark.createDataFrame(data, "vec_id long, embedding array<float>").repartition(5)
+    clash = df.withColumns({"row": F.lit("x"), "v": F.lit(None).cast("int"), "score": F.lit(2.5), "query_id": F.lit(7)})
     want = brute_topk(data)
-    for block in (2, 1024):
-        assert {tuple(r) for r in topk.top_k(df, block_rows=block).collect()} == want
+    for table, block in ((df, 2), (clash, 8192)):
+        assert sorted((tuple(r) for r in topk.top_k(table, block_rows=block).collect()), key=str) == want
+    assert sorted((tuple(r) for r in topk.top_k(df, block_bytes=100).collect()), key=str) == want
     assert topk.top_k(df.limit(0)).collect() == []
     assert len(topk.top_k(df.filter("vec_id in (0, 1, 2)")).collect()) == 2
 
 
+def test_topk_twin_sees_every_row(spark):
+    duckdb = pytest.importorskip("duckdb")
+    from termloom.llm.catalog import OP4_SQL
+
+    rng = np.random.RandomState(5)
+    data = [(None if i % 9 == 8 else i % 70, [float(np.float32(x)) for x in rng.randn(4)]) for i in range(200)]
+    embeddings = pd.DataFrame(data, columns=["vec_id", "embedding"]).astype({"vec_id": "Int64"})  # noqa: F841
+    con = duckdb.connect()
+    con.register("embeddings", embeddings)
+    assert sorted((tuple(r) for r in con.sql(OP4_SQL).fetchall()), key=str) == brute_topk(data)
+
+
 def test_topk_in_dense_neighbourhoods_needs_more_rounds(spark):
     rng = np.random.RandomState(9)
     x = rng.randn(6000, 64)
