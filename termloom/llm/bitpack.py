@@ -18,13 +18,14 @@ block run, and any id range is read from the blocks that hold it alone.
 from __future__ import annotations
 
 import struct
-import zlib
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from termloom.llm.common import shuffle_partitions, work_path
+from termloom.llm.shingles import slices
 from termloom.llm.tokens import encoder, vocabulary_path
 
 _HEAD = struct.Struct("<4sHHQQII")
@@ -112,25 +113,32 @@ class PackedFile:
         return self.ids(int(self.starts[i]), int(self.starts[i + 1]))
 
 
-def write_token_files(docs: DataFrame, end_id: int = 2, path: str | None = None, vocabulary: str | None = None, file_ids: int = 1_000_000) -> tuple[str, list[tuple[int, int, int, int]]]:
-    """Encodes every text, appends ``end_id`` and writes packed files.
+def _store(folder: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(folder)
+
+
+def write_token_files(docs: DataFrame, end_id: int = 2, path: str | None = None, vocabulary: str | None = None, file_ids: int = 4_000_000) -> str:
+    """Encodes every text, appends ``end_id`` and writes packed files; returns the folder.
 
     Files follow ascending (doc_id, hash of the text): file ``(part, seq)``
     comes before the next.  Null doc_ids come first, null texts are empty,
     repeated rows are written as often as they come, an empty table writes no
-    file.  Only doc_id and text are read.  A task holds one file's ids at a
-    time; a repeated task replaces its files by the same bytes.  Returns the
-    folder and a manifest row (part, seq, n_docs, n_ids) for each file.
+    file.  Only doc_id and text are read, so other columns never clash.  A text
+    is encoded whole whatever its length.  A task holds the ids of one file at
+    a time, ``file_ids`` and those of about a megabyte of texts (or of one
+    longer text) at most; a repeated task replaces its files by the same bytes.
+    Beside the files lies a manifest, a table of (part, seq, n_docs, n_ids).
     """
     spark = docs.sparkSession
-    folder = path or work_path(spark, "token-files")
+    folder = (path or work_path(spark, "token-files")).rstrip("/")
     tokenizer = vocabulary or vocabulary_path()
 
     def write(batches):
         import uuid
 
         import pyarrow as pa
-        from pyarrow import fs
         from pyspark import TaskContext
 
         part, enc = TaskContext.get().partitionId(), encoder(tokenizer)
@@ -138,7 +146,7 @@ def write_token_files(docs: DataFrame, end_id: int = 2, path: str | None = None,
         ids, lengths, names, held, seq = [], [], [], 0, 0
 
         def flush():
-            store, root = fs.FileSystem.from_uri(folder)
+            store, root = _store(f"{folder}/files")
             store.create_dir(root, recursive=True)
             body = write_file(np.concatenate(ids), np.concatenate(lengths), names, bits)
             name = f"{root}/ids-{part:06d}-{seq:05d}.bin"
@@ -148,9 +156,7 @@ def write_token_files(docs: DataFrame, end_id: int = 2, path: str | None = None,
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "n_docs": pa.array([len(names)], pa.int64()), "n_ids": pa.array([held], pa.int64())})
 
         for batch in batches:
-            step = 500
-            for at in range(0, batch.num_rows, step):
-                rows = batch.slice(at, step)
+            for rows in slices(batch):
                 raw, n = enc.encode_many(rows.column(1).to_pylist())
                 ends = np.cumsum(n)
                 ids.append(np.insert(raw, ends, end_id).astype(np.uint32))
@@ -163,33 +169,40 @@ def write_token_files(docs: DataFrame, end_id: int = 2, path: str | None = None,
         if names:
             yield flush()
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(shuffle_partitions(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    manifest = ordered.mapInArrow(write, "part int, seq int, n_docs long, n_ids long").collect()
-    return folder, sorted(tuple(r) for r in manifest)
+    order = (F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
+    ordered.mapInArrow(write, "part int, seq int, n_docs long, n_ids long").write.parquet(f"{folder}/manifest")
+    return folder
+
 
+def manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """part, seq, n_docs, n_ids and start (ids of all files before it) of every file."""
+    files = spark.read.schema("part int, seq int, n_docs long, n_ids long").parquet(f"{folder}/manifest")
+    before = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = files.groupBy("part").agg(F.sum("n_ids").alias("n_ids"))  # a row for each writing task
+    parts = parts.select("part", before(W.orderBy("part")).alias("base"))
+    return files.join(parts, "part").select("part", "seq", "n_docs", "n_ids", (F.col("base") + before(W.partitionBy("part").orderBy("seq"))).alias("start"))
 
-def read_token_files(spark, folder: str, manifest: list[tuple[int, int, int, int]]) -> DataFrame:
-    """doc_id, start, n_tokens, ids (little-endian u32 bytes) of every document."""
-    schema = "doc_id long, start long, n_tokens long, ids binary"
-    if not manifest:
-        return spark.createDataFrame([], schema)
-    base, total = {}, 0
-    for part, seq, _, n in manifest:
-        base[f"ids-{part:06d}-{seq:05d}.bin"] = total
-        total += n
+
+def read_token_files(spark: SparkSession, folder: str, docs_step: int = 2000) -> DataFrame:
+    """doc_id, start, n_tokens, ids (little-endian u32 bytes) of every document.
+
+    Tasks are dealt files by the manifest, one file is held at a time, and its
+    ids are unpacked for about a million ids or ``docs_step`` documents (or one
+    longer document) at a time."""
 
     def read(batches):
         import pyarrow as pa
 
+        store, root = _store(f"{folder}/files")
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                start = base.get(path.rsplit("/", 1)[-1])
-                if start is None:
-                    continue
-                packed = PackedFile(content.as_py())
-                for at in range(0, packed.n_docs, 2000):
-                    to = min(packed.n_docs, at + 2000)
+            for part, seq, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with store.open_input_file(f"{root}/ids-{part:06d}-{seq:05d}.bin") as f:
+                    packed = PackedFile(f.read())
+                at = 0
+                while at < packed.n_docs:
                     first = int(packed.starts[at])
+                    to = min(packed.n_docs, at + docs_step, max(at + 1, int(np.searchsorted(packed.starts, first + 1_000_000, "right")) - 1))
                     view = packed.ids(first, int(packed.starts[to])).astype("<u4").view(np.uint8).data
                     s = packed.starts[at : to + 1]
                     yield pa.RecordBatch.from_pydict(
@@ -200,16 +213,13 @@ def read_token_files(spark, folder: str, manifest: list[tuple[int, int, int, int
                             "ids": pa.LargeBinaryArray.from_buffers(pa.large_binary(), to - at, [None, pa.py_buffer(4 * (s - first)), pa.py_buffer(view)]).cast(pa.binary()),
                         }
                     )
+                    at = to
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(folder).select("path", "content")
-    return files.mapInArrow(read, schema)
+    files = manifest(spark, folder).select("part", "seq", "start").repartition(shuffle_partitions(spark), "part", "seq")
+    return files.mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def token_file_digest(docs: DataFrame, end_id: int = 2, vocabulary: str | None = None) -> DataFrame:
     """Writes the files, reads them back: doc_id, start, n_tokens, ids_crc32."""
-    folder, manifest = write_token_files(docs, end_id, vocabulary=vocabulary)
-    return read_token_files(docs.sparkSession, folder, manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
-
-
-def crc32_u32(ids: np.ndarray) -> int:
-    return zlib.crc32(ids.astype("<u4").tobytes())
+    folder = write_token_files(docs, end_id, vocabulary=vocabulary)
+    return read_token_files(docs.sparkSession, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

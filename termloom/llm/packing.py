@@ -20,6 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from termloom.llm.common import materialize
+from termloom.llm.shingles import slices
 from termloom.llm.tokens import encoder, vocabulary_path
 
 UNIT = 8
@@ -110,8 +111,7 @@ def token_pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 0, vocabul
 
         enc = encoder(tokenizer)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                rows = batch.slice(at, 500)
+            for rows in slices(batch):
                 raw, n = enc.encode_many(rows.column(1).to_pylist())
                 ids = np.insert(raw, np.cumsum(n), end_id).astype("<u4")
                 n = n + 1
@@ -136,8 +136,11 @@ def pack_documents(docs: DataFrame, capacity: int = 1024, end_id: int = 0, vocab
     """Every piece of every document with its sequence_id and offset.
 
     A null text is empty and gives its end id alone; repeated rows are packed
-    each; an empty table gives no piece; only doc_id and text are read.  Full
-    pieces are sequences of their own.  Ranks within a length are counted in
+    each; an empty table gives no piece; only doc_id and text are read, so
+    other columns never clash.  A text is encoded whole whatever its length,
+    about a megabyte of texts (or one longer text) at a time, and a very long
+    one gives as many pieces as it needs.  Pieces of equal length take their
+    places by doc_id, start and checksum.  Full pieces are sequences of their own.  Ranks within a length are counted in
     salted groups, so a length that most documents share is spread.  The
     driver holds the histogram and the patterns: at most ``capacity`` lengths.
     """

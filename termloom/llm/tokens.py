@@ -6,7 +6,8 @@ non-space characters.  Text is cut there, each distinct piece is encoded by
 the library once and the ids are gathered with numpy.  Pieces are known by
 128-bit hashes in an open-addressing table, so a batch is cut, hashed and
 looked up by vector operations.  Any text with another arrangement of white
-space goes to the library whole, so the ids are always the library's own.
+space, or with an added token in it, goes to the library whole, so the ids are
+always the library's own.
 """
 
 from __future__ import annotations
@@ -34,15 +35,16 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
 class Encoder:
     """``encode_many(texts)`` gives (ids uint32, lengths int64); null is empty.
 
-    Strings of special tokens inside a text are ordinary text.  At most
-    ``cache_entries`` pieces are remembered, then the memory starts anew.
+    The string of an added token inside a text becomes that token, as the
+    library has it.  At most ``cache_entries`` pieces are remembered, then the
+    memory starts anew.
     """
 
     def __init__(self, path: str, cache_entries: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.size = self.tokenizer.get_vocab_size()
         self.cache_entries = cache_entries
         self.newline = self._encode("\n")
@@ -134,7 +136,7 @@ class Encoder:
     def _slice(self, texts: list[str], ids: list, lengths: list) -> None:
         if self.n > self.cache_entries:
             self._reset()
-        whole = np.array([bool(t) and bool(_ADJACENT.search(t) or t[0] == " " or t[-1] == " ") for t in texts])
+        whole = np.array([bool(t) and bool(_ADJACENT.search(t) or t[0] == " " or t[-1] == " " or any(a in t for a in self.added)) for t in texts])
         raw = [b"" if w else t.encode() for t, w in zip(texts, whole.tolist(), strict=True)]
         sizes = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
         heads = np.cumsum(sizes) - sizes

@@ -36,10 +36,20 @@ def test_files_round_trip(nasty, empty, encode):
 
 
 def test_files_of_a_few_ids(spark, nasty):
-    folder, manifest = bitpack.write_token_files(nasty, file_ids=50)
-    assert len(manifest) > 3
-    got = bitpack.read_token_files(spark, folder, manifest).collect()
+    folder = bitpack.write_token_files(nasty, file_ids=50)
+    files = bitpack.manifest(spark, folder).orderBy("part", "seq").collect()
+    assert len(files) > 3 and sum(r["n_docs"] for r in files) == nasty.count()
+    assert [r["start"] for r in files] == [sum(x["n_ids"] for x in files[:k]) for k in range(len(files))]
+    got = bitpack.read_token_files(spark, folder, docs_step=1).collect()
     assert len(got) == nasty.count()
+    assert sorted(r["start"] for r in got)[-1] == sum(r["n_ids"] for r in files) - max(got, key=lambda r: r["start"])["n_tokens"]
+
+
+def test_added_tokens_are_the_librarys(spark, encode):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "plain"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["ids_crc32"] for r in bitpack.token_file_digest(docs).collect()} == {i: crc([*encode(t), 2]) for i, t in enumerate(texts)}
+    assert {r["doc_id"]: r["ids_crc32"] for r in packing.pack_documents(docs).collect()} == {i: crc([*encode(t), 0]) for i, t in enumerate(texts)}
 
 
 @pytest.mark.parametrize("capacity", [1024, 64, 50])
