@@ -22,9 +22,10 @@ from termloom.llm.common import materialize
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 
-# Possessive quantifiers match what greedy ones would here, without deep recursion.
-EMAIL = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
-IP = r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
+# Possessive quantifiers match what greedy ones would here, without deep recursion.  A run of characters
+# is entered at its start or where the last match ended: elsewhere in it a match would fail as it did there.
+EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
+IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 NATIONAL = r"(?<![0-9A-Za-z+.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[.-][0-9]{4}(?![0-9A-Za-z-])"
@@ -41,21 +42,48 @@ CUES = {
 }
 
 
-def _matches(text: Column, pattern: str, guard: Column) -> Column:
-    """array<struct<s, e, m>> of leftmost non-overlapping matches: start,
-    exclusive end (code points) and the matched text."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    sizes = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("n"), m.alias("m")))
-    empty = F.lit(None).cast("array<struct<s:int,e:int,m:string>>")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,m:string>>").alias("out"))
-    folded = F.aggregate(
-        sizes,
-        start,
-        lambda a, x: F.struct((a["at"] + x["g"] + x["n"]).alias("at"), F.concat(a["out"], F.array(F.struct((a["at"] + x["g"]).alias("s"), (a["at"] + x["g"] + x["n"]).alias("e"), x["m"].alias("m")))).alias("out")),
-        lambda a: a["out"],
-    )
-    return F.when(guard, F.when(F.size(found) > 0, folded)).otherwise(empty)
+CHUNK = 128
+
+
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, also where a lambda asks for it often."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _scan(items: Column, zero: Column, step, emit) -> Column:
+    """emit(state, x) for each x, where ``step`` takes the state from item to item.
+
+    An array that grows by an element costs its whole length each time, so
+    results grow in chunks, and only one state for each chunk grows over all."""
+    chunked = lambda z: F.transform(F.sequence(F.lit(0), F.floor((F.size(z) - 1) / CHUNK).cast("int")), lambda i: F.slice(z, i * CHUNK + 1, CHUNK))
+    grown = lambda state, out: F.struct(state.alias("state"), out.alias("out"))
+    none = lambda x: F.slice(F.array(x), 1, 0)
+
+    def heads(chunks: Column) -> Column:
+        return F.aggregate(chunks, grown(zero, none(zero)), lambda a, c: grown(F.aggregate(c, a["state"], step), F.concat(a["out"], F.array(a["state"]))), lambda a: a["out"])
+
+    def inner(c: Column, state: Column) -> Column:
+        return F.aggregate(c, grown(state, none(emit(state, c[0]))), lambda a, x: grown(step(a["state"], x), F.concat(a["out"], F.array(emit(a["state"], x)))), lambda a: a["out"])
+
+    whole = lambda z: _let(chunked(z), lambda chunks: F.flatten(F.zip_with(chunks, heads(chunks), inner)))
+    return _let(items, lambda z: F.when(F.size(z) > 0, whole(z)))
+
+
+def _cuts(text: Column, pattern: str, guard: Column) -> Column:
+    """The leftmost non-overlapping matches of a pattern and the gaps around them."""
+    return F.when(guard, F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps")))
+
+
+def _placed(cuts: Column) -> Column:
+    """array<struct<s, e, m, b, a>> of the matches in ``_cuts``: start,
+    exclusive end (code points), the matched text, up to 32 characters before
+    it (back to the match before at most) and the one after it."""
+    found, gaps, n = cuts["found"], cuts["gaps"], F.size(cuts["found"])
+    blank = F.array(F.lit(""))
+    zipped = F.arrays_zip(F.slice(gaps, 1, n).alias("g"), found.alias("m"), F.slice(gaps, 2, n).alias("h"), F.slice(F.concat(blank, found), 1, n).alias("p"), F.slice(F.concat(found, blank), 2, n).alias("q"))
+    sizes = F.transform(zipped, lambda x: F.struct(F.length(x["g"]).alias("g"), F.length(x["m"]).alias("n"), x["m"].alias("m"), F.right(F.concat(x["p"], x["g"]), F.lit(32)).alias("b"), F.left(F.concat(F.left(x["h"], F.lit(1)), F.left(x["q"], F.lit(1))), F.lit(1)).alias("a")))
+    emit = lambda at, x: F.struct((at + x["g"]).alias("s"), (at + x["g"] + x["n"]).alias("e"), x["m"].alias("m"), x["b"].alias("b"), x["a"].alias("a"))
+    return F.when(n > 0, _scan(sizes, F.lit(0), lambda at, x: at + x["g"] + x["n"], emit))
 
 
 def _digits(x: Column) -> Column:
@@ -82,14 +110,14 @@ def _valid_phone(x: Column) -> Column:
     return F.length(_digits(x)).between(9, 15)
 
 
-def _spans(text: Column, kind: str, found: Column, base) -> Column:
+def _spans(kind: str, found: Column, base) -> Column:
     """array<struct<k, s, e, base, r, g, c, w, n, d>>: kind number, place,
     whether a base span, the three votes and three features."""
     number = KINDS.index(kind)
 
     def one(x: Column) -> Column:
-        before = F.substring(text, F.greatest(x["s"] - 31, F.lit(1)), F.least(x["s"], F.lit(32)))
-        last, after = F.substring(text, x["s"], F.when(x["s"] > 0, 1).otherwise(0)), F.substring(text, x["e"] + 1, 1)
+        before, after = x["b"], x["a"]
+        last = F.right(before, F.lit(1))
         cue = before.rlike(CUES[kind])
         glued = last.rlike(r"[\p{L}\p{N}_]") | after.rlike(r"[\p{L}\p{N}_]")
         good = base(x["m"])
@@ -123,23 +151,33 @@ def propose(docs: DataFrame) -> DataFrame:
     yes = lambda m: F.lit(True)
     no = lambda m: F.lit(False)
     guards = {"ip": digit & text.rlike(r"[0-9]\.[0-9]++\.[0-9]"), "card": digit & text.rlike(r"[0-9](?:[\x20-]?[0-9]){12}"), "national": digit & text.rlike(r"[0-9]{3}[.-][0-9]{4}")}
-    raw = {
-        "__tl_m0": _matches(text, EMAIL, text.contains("@")),
-        "__tl_m1": _matches(text, IP, guards["ip"]),
-        "__tl_m2": _matches(text, CARD, guards["card"]),
-        "__tl_m3": _matches(text, PHONE, text.contains("+") & digit),
-        "__tl_m4": _matches(text, NATIONAL, guards["national"]),
-        "__tl_m5": _matches(text, SPELLED, text.rlike(r"[\[(](?:at|AT)[\])]")),
-        "__tl_m6": _matches(text, SECRET, text.rlike(r"[0-9A-Za-z_-]{18}")),
-    }
-    found = docs.withColumns(raw)
+    raw = F.array(
+        _cuts(text, EMAIL, text.contains("@")),
+        _cuts(text, IP, guards["ip"]),
+        _cuts(text, CARD, guards["card"]),
+        _cuts(text, PHONE, text.contains("+") & digit),
+        _cuts(text, NATIONAL, guards["national"]),
+        _cuts(text, SPELLED, text.rlike(r"[\[(](?:at|AT)[\])]")),
+        _cuts(text, SECRET, text.rlike(r"[0-9A-Za-z_-]{18}")),
+    )
+    found = docs.withColumn("__tl_found", F.transform(raw, _placed))  # one array for each pattern
     kinds = (("email", 0, yes), ("ip", 1, _valid_ip), ("card", 2, _valid_card), ("phone", 3, _valid_phone), ("phone", 4, no), ("email", 5, no), ("secret", 6, no))
-    spans = found.withColumn("__tl_all", F.concat(*(_spans(text, k, F.col(f"__tl_m{i}"), base) for k, i, base in kinds))).drop(*raw)
-    base = F.filter("__tl_all", lambda x: x["base"])
-    spans = spans.withColumn("__tl_base", base)
-    meets = lambda x: F.exists("__tl_base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
-    extra = F.filter("__tl_all", lambda x: ~x["base"] & ~meets(x))
-    return spans.withColumn("__tl_extra", extra).drop("__tl_all")
+    spans = found.withColumn("__tl_all", F.concat(*(_spans(k, F.col("__tl_found")[i], base) for k, i, base in kinds))).drop("__tl_found")
+    both = _let(F.col("__tl_all"), lambda z: F.struct(F.filter(z, lambda x: x["base"]).alias("base"), F.when(F.exists(z, lambda x: ~x["base"]), _clear(z)).alias("extra")))
+    spans = spans.withColumn("__tl_both", both).drop("__tl_all")
+    return spans.withColumns({"__tl_base": F.col("__tl_both.base"), "__tl_extra": F.coalesce("__tl_both.extra", F.array().cast(_SPANS))}).drop("__tl_both")
+
+
+def _clear(spans: Column) -> Column:
+    """The spans beyond the base ones that meet no base span.
+
+    In the order of starts a span meets a base span before it if the greatest
+    end of those lies beyond its start, and one after it if the next of those
+    starts before its end."""
+    ordered = F.array_sort(F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["base"].alias("base"), x.alias("x"))))
+    ahead = _scan(ordered, F.lit(-1), lambda end, x: F.when(x["base"], F.greatest(end, x["e"])).otherwise(end), lambda end, x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["base"].alias("base"), x["x"].alias("x"), (end > x["s"]).alias("met")))
+    back = _scan(F.reverse(ahead), F.lit((1 << 31) - 1), lambda start, x: F.when(x["base"], x["s"]).otherwise(start), lambda start, x: F.struct(x["x"].alias("x"), (x["base"] | x["met"] | (start < x["e"])).alias("met")))
+    return F.transform(F.filter(back, lambda x: ~x["met"]), lambda x: x["x"])
 
 
 def reliabilities(counts: list[tuple[int, int, int, int, int]], rounds: int = 50) -> tuple[dict, dict]:
@@ -230,8 +268,10 @@ def find_pii(docs: DataFrame, keep_text: bool = True, threshold: float = 0.5) ->
     Starts and ends count code points, ends are exclusive.  base marks the
     spans of the four base patterns; the others were proposed beside them and
     the classifier gives them ``threshold`` or more.  A null text is empty; a
-    column named spans is replaced; rows are independent, so repeated rows get
-    the same spans; an empty table has none.  ``keep_text`` False leaves the
+    text is read whole, in time that grows with its length and not with its
+    square whatever it holds; a column named spans is replaced, those whose
+    names begin with __tl_ are this module's own; rows are independent, so
+    repeated rows get the same spans; an empty table has none.  ``keep_text`` False leaves the
     text out of the working table.
     """
     source = docs.drop("spans")
@@ -258,18 +298,24 @@ def redact(found: DataFrame) -> DataFrame:
     """The text of ``find_pii``'s rows with every span as ``<KIND>``.
 
     Where spans meet, the earliest start gives the name and the union of the
-    spans is replaced; text outside spans stays as it is.
+    spans is replaced; text outside spans stays as it is.  The text is cut in
+    blocks of ``CHUNK`` spans and each block at its spans, so a long text with
+    many spans is not walked from its start for each.
     """
+    text = F.col("text")
     ordered = F.array_sort(F.transform("spans", lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("o"), x["kind"].alias("kind"))))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        s, e = x["s"], -x["o"]
-        fresh = F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, s - a["at"]), F.concat(F.lit("<"), F.upper(x["kind"]), F.lit(">")))
-        return F.struct(F.greatest(a["at"], e).alias("at"), F.when(s >= a["at"], fresh).otherwise(a["out"]).alias("out"))
-
-    whole = F.aggregate(ordered, start, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
-    return found.withColumn("text", F.when(F.size("spans") > 0, whole).otherwise(F.col("text")))
+    kept = _scan(ordered, F.lit(0), lambda at, x: F.greatest(at, -x["o"]), lambda at, x: F.struct(at.alias("lo"), x["s"].alias("hi"), x["kind"].alias("kind")))
+    fresh = F.filter(kept, lambda x: x["hi"] >= x["lo"])
+    chunks = _let(fresh, lambda z: F.transform(F.sequence(F.lit(0), F.floor((F.size(z) - 1) / CHUNK).cast("int")), lambda i: F.slice(z, i * CHUNK + 1, CHUNK)))
+
+    def named(c: Column) -> Column:
+        base = c[0]["lo"]
+        block = F.substring(text, base + 1, F.element_at(c, -1)["hi"] - base)
+        return _let(block, lambda t: F.array_join(F.transform(c, lambda x: F.concat(F.substring(t, x["lo"] - base + 1, x["hi"] - x["lo"]), F.lit("<"), F.upper(x["kind"]), F.lit(">"))), ""))
+
+    last = F.array_max(F.transform("spans", lambda x: x["e"]))
+    whole = F.concat(F.array_join(F.transform(chunks, named), ""), F.substring(text, last + 1, F.length(text)))
+    return found.withColumn("text", F.when(F.size("spans") > 0, whole).otherwise(text))
 
 
 def pii_digest(docs: DataFrame) -> DataFrame:

@@ -222,6 +222,52 @@ def test_pii_against_brute_force(spark, nasty, empty):
     assert pii.pii_digest(nasty).count() == nasty.count() and pii.pii_digest(empty).collect() == []
 
 
+def base_spans(t):
+    return [[f"{k}:{m.start()}:{m.end()}" for m in re.finditer(p, t) if ok(m.group())] for k, p, ok in PII_KINDS]
+
+
+def test_pii_in_very_long_texts_takes_seconds(spark):
+    import hashlib
+    import time
+
+    many = " ".join(f"u{k}@h{k % 7}.org, 10.0.{k % 300}.{k % 250} é" for k in range(20_000))
+    mixed = " ".join(f"call 366-555-{k % 10000:04d} or 366-555-{k % 10000:04d}@x.org" for k in range(5000))
+    texts = ["a" * 1_000_000 + " x@y.zz", "7" * 1_000_000 + ".1.1", "a.b-" * 250_000, "+1" + "(" * 1_000_000, "1." * 300_000, many, mixed]
+    docs = spark.createDataFrame(rows(texts), SCHEMA).repartition(len(texts))
+    began = time.time()
+    got = {r["doc_id"]: r for r in pii.pii_digest(docs).collect()}
+    assert time.time() - began < 60
+    for i, t in enumerate(texts):
+        known = {0: ["email:1000001:1000007"], 1: [], 2: [], 3: [], 4: [f"ip:{k}:{k + 7}" for k in range(0, 600_000, 8)]}  # plain patterns would take hours
+        want = [known[i]] if i in known else base_spans(t)
+        assert got[i]["base_sha256"] == hashlib.sha256(",".join(sum(want, [])).encode()).hexdigest(), i
+    began = time.time()
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(pii.find_pii(docs)).collect()}
+    assert time.time() - began < 60
+    spans = got[5]["spans"].split(",")
+    at, out = 0, []
+    for kind, a, b in sorted((x.split(":") for x in spans), key=lambda x: int(x[1])):
+        out += [many[at : int(a)], f"<{kind.upper()}>"]
+        at = int(b)
+    assert clean[5] == "".join([*out, many[at:]]) and clean[0] == "a" * 1_000_000 + " <EMAIL>"
+
+
+def test_pii_added_spans_meet_no_base_span(spark):
+    rng = np.random.RandomState(3)
+    atoms = ["366-555-9807", "(366) 555-9807", "me@x.org", "me (at) x (dot) org", "1.2.3.4", "256.1.1.1", "+13665559807", "sk_a1B2c3D4e5F6g7H8", "@", " ", ".", "-", "é", "tel "]
+    texts = ["".join(rng.choice(atoms, 200)) for _ in range(40)]
+    got = pii.propose(spark.createDataFrame(rows(texts), SCHEMA)).collect()
+    assert sum(len(r["__tl_extra"]) for r in got) > 20
+    for r in got:
+        base = [(x["s"], x["e"]) for x in r["__tl_base"]]
+        assert {f"{k}:{s}:{e}" for k, (s, e) in zip((pii.KINDS[x["k"]] for x in r["__tl_base"]), base, strict=True)} == set(sum(base_spans(r["text"]), []))
+        assert not any(s < x["e"] and x["s"] < e for x in r["__tl_extra"] for s, e in base)
+        for pattern, kind in ((pii.NATIONAL, "phone"), (pii.SECRET, "secret")):
+            for m in re.finditer(pattern, r["text"]):
+                meets = any(s < m.end() and m.start() < e for s, e in base)
+                assert meets or (pii.KINDS.index(kind), m.start(), m.end()) in {(x["k"], x["s"], x["e"]) for x in r["__tl_extra"]}
+
+
 def test_short_and_long_secrets_are_proposed(spark):
     keys = ["sk" + "a1B2" * 4, "pk_" + "c3D4" * 4, "ghp" + "e5F6" * 4, "sk-" + "a1B2" * 20, "0a9f" * 32]
     texts = [f"key: {k} ." for k in keys]
