@@ -39,30 +39,28 @@ def test_search_against_brute_force(seed):
     items = [(str(i), draw(14)) for i in range(rng.randint(1, 6))]
     texts = [draw(60) for _ in range(4)]
     index = Index(items)
-    counts, hits, found = index.scan([t.encode().translate(decontam._FOLD) for t in texts])
-    for t, n, h, f in zip(texts, counts, hits, found, strict=True):
-        assert (n, len(h), sorted(f)) == brute(t, items)
+    counts, hits, found, full = index.scan([decontam.fold(t) for t in texts])
+    for k, t in enumerate(texts):
+        assert (counts[k], (hits[0] == k).sum(), sorted(index.names[i] for i in found[1][found[0] == k])) == brute(t, items)
+        assert full[k] == bool(brute(t, [x for x in items if len(words(x[1])) >= 8])[2])
 
 
 def test_lanes_join(spark):
     text = prose(1, 3000)
     item = " ".join(words(text)[250:262])
     index = Index([("7", item)])
-    _, hits, items = index.scan([text.encode().translate(decontam._FOLD)])
-    assert list(hits[0]) == list(range(250, 262)) and items[0] == {"7"}
+    _, hits, items, _ = index.scan([decontam.fold(text)])
+    assert hits[1].tolist() == list(range(250, 262)) and [index.names[i] for i in items[1]] == ["7"]
 
 
-def test_edge_cases_and_blocks(spark, nasty, empty, monkeypatch):
+def test_edge_cases_and_blocks(spark, nasty, empty):
     texts = [r["text"] for r in nasty.collect()]
     items = [(1, " ".join(words(texts[2])[3:20])), (2, "two words"), (3, None), (4, ""), (5, " ".join(words(texts[2])[10:30])), (None, "word"), (1, texts[4])]
     bench = spark.createDataFrame(items, "item_id long, text string")
     named = [("" if i is None else str(i), t) for i, t in items]
     want = [brute(t, named) for t in texts]
     for size in (16 << 20, 1):
-        blocks = decontam.benchmark_blocks
-        monkeypatch.setattr(decontam, "benchmark_blocks", lambda b, w=8, block_bytes=size, f=blocks: f(b, w, block_bytes))
-        got = decontam.contamination(nasty, bench).collect()
-        monkeypatch.undo()
+        got = decontam.contamination(nasty, bench, block_bytes=size).collect()
         key = lambda x: str(x)
         assert sorted(((r["n_words"], r["n_hit"], r["items"]) for r in got), key=key) == sorted(want, key=key)
         assert all(r["contaminated"] == (len(r["items"]) >= 2) for r in got)
@@ -71,6 +69,19 @@ def test_edge_cases_and_blocks(spark, nasty, empty, monkeypatch):
     assert not any(r["contaminated"] or r["n_hit"] for r in decontam.contamination(nasty, bench.limit(0)).collect())
 
 
+def test_a_large_benchmark_in_blocks(spark):
+    items = [(k, prose(k, 40)) for k in range(50)]
+    texts = [prose(1000 + k, 40) + " " + " ".join(words(items[k * 3][1])[5:20]) + " " + prose(2000 + k, 200 * (k % 3)) for k in range(12)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame(rows(texts), SCHEMA).repartition(2)
+    folder, n = decontam.write_index(bench, block_bytes=1000)
+    assert n > 10
+    want = {i: brute(t, [(str(k), x) for k, x in items]) for i, t in enumerate(texts)}
+    for size in (1000, 4 << 20):
+        got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in decontam.contamination(docs, bench, block_bytes=size).collect()}
+        assert got == want
+
+
 def test_digest(spark):
     docs = spark.createDataFrame(rows(["a b c", "nothing", None]), SCHEMA)
     bench = spark.createDataFrame([(10, "b c"), (9, "a")], "item_id long, text string")
