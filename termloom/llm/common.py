@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,17 +33,44 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/termloom/{name}-{uuid.uuid4().hex}"
 
 
+_OPEN: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch():
+    """Deletes the tables that ``materialize`` writes inside, at the end, also
+    after an error; the function it gives marks those that stay because a
+    result reads them."""
+    made: list[DataFrame] = []
+    stay: list[str] = []
+
+    def kept(df: DataFrame) -> DataFrame:
+        stay.append(df._termloom_path)
+        return df
+
+    _OPEN.append(made)
+    try:
+        yield kept
+    finally:
+        _OPEN.pop()
+        for df in made:
+            if df._termloom_path not in stay:
+                discard(df)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back; this cuts lineage.
 
     The files outlive any executor, so a later task never recomputes what
-    stands above them.
+    stands above them.  Inside ``scratch`` they go with it.
     """
     spark = df.sparkSession
     path = work_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._termloom_path = path
+    if _OPEN:
+        _OPEN[-1].append(out)
     return out
 
 

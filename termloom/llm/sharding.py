@@ -10,6 +10,9 @@ the place the splitters give.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -52,29 +55,34 @@ def _counts(keys: DataFrame, probes: list[int]) -> list[tuple[int, int]]:
     return [(int(a), int(b)) for a, b in zip(np.cumsum(size)[:-1], np.cumsum(rows)[:-1], strict=True)]
 
 
-def find_splitters(keys: DataFrame, parts: int, tolerance: float = 0.001, probes: int = 24) -> tuple[list[int], list[int], int]:
+def find_splitters(keys: DataFrame, parts: int, tolerance: float = 0.001, probes: int = 24, most_probes: int = 200_000) -> tuple[list[int], list[int], int]:
     """Keys that cut the bytes into ``parts`` near-equal runs.
 
     Returns the splitters, the exact rows below each, and the number of
     rounds.  A splitter is settled once it is within ``tolerance`` of a part's
-    bytes, or once no key is left between its bounds.
+    bytes, or once no key is left between its bounds.  A round asks for
+    ``probes`` keys in every open interval, fewer where all of them would be
+    more than ``most_probes``.
     """
     total = keys.agg(F.sum("size").alias("s"), F.count("*").alias("n")).first()
     size, n = total["s"] or 0, total["n"]
-    state = [{"target": size * j // parts, "lo": (_LOW, 0, 0), "hi": (_FULL, size, n)} for j in range(1, parts)]
+    targets = [size * j // parts for j in range(1, parts)]
+    state = [((_LOW, 0, 0), (_FULL, size, n)) for _ in targets]
     limit, rounds = size / parts * tolerance, 0
 
-    def settled(x) -> bool:
-        lo, hi = x["lo"], x["hi"]
-        near = min(abs(lo[1] - x["target"]), abs(hi[1] - x["target"]))
+    def settled(j: int) -> bool:
+        lo, hi = state[j]
+        near = min(abs(lo[1] - targets[j]), abs(hi[1] - targets[j]))
         return near <= limit or hi[0] - lo[0] <= 1 or hi[2] - lo[2] <= 0
 
-    while still := [x for x in state if not settled(x)]:
+    still = [j for j in range(len(targets)) if not settled(j)]
+    while still:
         rounds += 1
         wanted: set[int] = set()
-        for lo, hi in {(x["lo"][0], x["hi"][0]) for x in still}:
-            own = [x for x in still if (x["lo"][0], x["hi"][0]) == (lo, hi)]
-            k = max(probes, 2 * len(own))
+        intervals = Counter((state[j][0][0], state[j][1][0]) for j in still)
+        share = max(2, min(probes, most_probes // len(intervals)))
+        for (lo, hi), own in intervals.items():
+            k = max(share, 2 * own)
             step = hi - lo
             for i in range(1, k + 1):
                 key = lo + step * i // (k + 1)
@@ -88,25 +96,28 @@ def find_splitters(keys: DataFrame, parts: int, tolerance: float = 0.001, probes
             break
         ordered = sorted(wanted)
         got = [(_LOW, 0, 0), *((k, *c) for k, c in zip(ordered, _counts(keys, ordered), strict=True)), (_FULL, size, n)]
-        for x in still:
-            for g in got:
-                if g[1] <= x["target"] and g[0] > x["lo"][0]:
-                    x["lo"] = g
-                if g[1] >= x["target"] and g[0] < x["hi"][0]:
-                    x["hi"] = g
-    chosen = [min((x["lo"], x["hi"]), key=lambda c: abs(c[1] - x["target"])) for x in state]
+        sizes = [g[1] for g in got]
+        for j in still:
+            lo, hi = state[j]
+            below, above = got[bisect_right(sizes, targets[j]) - 1], got[bisect_left(sizes, targets[j])]
+            state[j] = (max(lo, below), min(hi, above))
+        still = [j for j in still if not settled(j)]
+    chosen = [min(x, key=lambda c: abs(c[1] - t)) for x, t in zip(state, targets, strict=True)]  # noqa: B023
     return [c[0] for c in chosen], [c[2] for c in chosen], rounds
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 40, tolerance: float = 0.001, part_bytes: int = 128 << 20) -> DataFrame:
+def shard_documents(docs: DataFrame, n_shards: int = 40, tolerance: float = 0.001, part_bytes: int = 128 << 20, most_parts: int = 100_000) -> DataFrame:
     """All rows and columns of ``docs`` with size, shard and slot.
 
     A row's size is the UTF-8 bytes of its text (null: none) plus 16; shards
     get near-equal sums of sizes.  slot counts from 0 in each shard, by key.
-    A shard of more than ``part_bytes`` is exchanged as several key runs, so
-    no task holds a whole shard.  Null doc_ids sort first; rows alike in text
-    and doc_id have one key and stay together; an empty table gives no rows.
-    Columns already named size, shard or slot are replaced.
+    A shard of more than ``part_bytes`` is exchanged as several key runs of
+    about that size, so no task sorts a whole shard; beyond ``most_parts`` runs
+    in all they grow instead (a gigabyte each at 100 TB), and a task's sort
+    spills.  A text counts whole whatever its length and is never cut.  Null
+    doc_ids sort first; rows alike in text and doc_id have one key and stay
+    together; an empty table gives no rows.  Columns already named size, shard
+    or slot are replaced, those whose names begin with __tl_ are this module's own.
     """
     spark = docs.sparkSession
     h = F.xxhash64(F.coalesce("text", F.lit("")))
@@ -114,11 +125,11 @@ def shard_documents(docs: DataFrame, n_shards: int = 40, tolerance: float = 0.00
     size = (F.coalesce(F.octet_length("text"), F.lit(0)) + F.lit(16)).cast("long")
     keys = materialize(docs.select(h.alias("h"), d.alias("d"), size.alias("size")), "shard-keys")
     total = keys.agg(F.sum("size")).first()[0] or 0
-    runs = max(1, min(-(-total // (n_shards * part_bytes)), max(1, 10_000 // n_shards)))
+    runs = max(1, min(-(-total // (n_shards * part_bytes)), max(1, most_parts // n_shards)))
     splitters, rows_below, _ = find_splitters(keys, n_shards * runs, tolerance)
     discard(keys)
     ph, pd_ = _halves([min(s, _FULL - 1) for s in splitters])
-    held = spark.sparkContext.broadcast((ph, pd_))  # 16 bytes a part, at most 10,000 parts
+    held = spark.sparkContext.broadcast((ph, pd_))  # 16 bytes a part, at most most_parts of them
 
     @F.pandas_udf("int")
     def part_of(h: pd.Series, d: pd.Series) -> pd.Series:

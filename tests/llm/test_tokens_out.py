@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from termloom.llm import bitpack, packing, sharding
@@ -108,6 +109,25 @@ def test_shards(spark, nasty, empty, part_bytes):
     assert sharding.shard_documents(empty).collect() == []
 
 
+@pytest.mark.parametrize("parts", [128 << 20, 3000])
+def test_shards_against_a_plain_sort(spark, parts):
+    texts = [f"text {k % 231} " + "x" * (k * 7 % 90) for k in range(2000)] + ["copy " * 9] * 1000 + ["long " * 500, None, ""]
+    docs = spark.createDataFrame([(None if k == 5 else k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    keyed = docs.withColumn("h", F.xxhash64(F.coalesce("text", F.lit("")))).collect()
+    size = lambda t: len((t or "").encode()) + 16
+    order = sorted(((r["h"], -(1 << 63) if r["doc_id"] is None else r["doc_id"], size(r["text"]), r["doc_id"]) for r in keyed), key=lambda r: r[:2])
+    total, n = sum(r[2] for r in order), 8
+    got = {r["doc_id"]: (r["shard"], r["slot"]) for r in sharding.shard_documents(docs, n, part_bytes=parts).collect()}
+    places, below, at = [got[r[3]] for r in order], 0, Counter()
+    assert [p[0] for p in places] == sorted(p[0] for p in places)
+    for (shard, slot), row in zip(places, order, strict=True):
+        if slot == 0 and shard:  # a splitter: within the tolerance or the row beside it
+            assert abs(below - total * shard / n) <= 0.001 * total / n + 2600
+        assert slot == at[shard]
+        at[shard] += 1
+        below += row[2]
+
+
 def test_shards_are_even_and_keep_copies_near(spark):
     texts = [f"text number {k % 997} " + "x" * (k % 50) for k in range(6000)] + ["copy " * 20] * 3000
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -119,4 +139,4 @@ def test_shards_are_even_and_keep_copies_near(spark):
     assert len(weights) == 40 and max(abs(w - mean) for w in weights.values()) < 0.02 * mean
     copies = {r["shard"] for r in got if r["doc_id"] >= 6000}
     assert copies == set(range(min(copies), max(copies) + 1))
-    assert all(r["text_crc32"] == zlib.crc32(texts[r["doc_id"]].encode()) for r in got[:200])
+    assert all(r["text_crc32"] == zlib.crc32(texts[r["doc_id"]].encode()) for r in got)
