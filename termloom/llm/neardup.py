@@ -2,7 +2,9 @@
 
 Documents with equal shingle sets become one class.  Every class has a
 MinHash signature; a tree of the forest is the list of all classes sorted by
-a few of its values.  Candidates are neighbours in those orders: where a
+a few of its values.  A region is entered by three values at least, so classes
+alike at 0.8 share one in some of 20 trees but for a chance of 0.488**20, less
+than one in a million.  Candidates are neighbours in those orders: where a
 region (classes that share a prefix) is small all its pairs, where it is large
 the region is entered deeper, value by value, until its parts are small, and
 next neighbours by longest common prefix are taken at every depth.  So a
@@ -22,10 +24,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import discard, materialize, shuffle_partitions
+from termloom.llm.common import discard, materialize, scratch, shuffle_partitions
 from termloom.llm.graph import components
 from termloom.llm.sieve import sieve
-from termloom.llm.shingles import fold, shingle_sets, similar
+from termloom.llm.shingles import fold, shingle_sets, similar, slices
 
 TREES, DEPTH, REGION, NEAR = 20, 3, 8, 2
 SLOT_BITS = 21
@@ -62,9 +64,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            step = max(1, int(batch.num_rows * (2 << 20) / max(1, batch.nbytes)))
-            for at in range(0, batch.num_rows, step):
-                rows = batch.slice(at, step)
+            for rows in slices(batch, 2 << 20):
                 sets = shingle_sets([fold(t) for t in rows.column(1).to_pylist()], words)
                 n = np.array([len(s) for s in sets], dtype=np.int64)
                 full = np.flatnonzero(n)
@@ -197,12 +197,6 @@ def _unsettled(members: DataFrame, roots: DataFrame) -> DataFrame:
     return materialize(now.join(mixed, ["tree", "region"]).select("doc_id", "root").distinct(), "unsettled")
 
 
-def _runs(batch, size: int = 2 << 20):
-    step = max(1, int(batch.num_rows * size / max(1, batch.nbytes)))
-    for at in range(0, batch.num_rows, step):
-        yield batch.slice(at, step)
-
-
 def _levels(texts: DataFrame, words: int) -> np.ndarray:
     """How often the shingles of each hashed slot occur, as a logarithm: 0 for
     once at most.  Four bits of each of the 2**SLOT_BITS slots come to the
@@ -213,7 +207,7 @@ def _levels(texts: DataFrame, words: int) -> np.ndarray:
 
         total = np.zeros(1 << SLOT_BITS, dtype=np.int64)
         for batch in batches:
-            for rows in _runs(batch):
+            for rows in slices(batch):
                 sets = shingle_sets([fold(t) for t in rows.column(2).to_pylist()], words)
                 total += np.bincount((np.concatenate(sets) >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=len(total))
         slot = np.flatnonzero(total)
@@ -239,7 +233,7 @@ def _prefixes(texts: DataFrame, words: int, percent: int) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for rows in _runs(batch):
+            for rows in slices(batch):
                 out = []
                 for k, own in enumerate(shingle_sets([fold(t) for t in rows.column(2).to_pylist()], words)):
                     level = held.value[(own >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
@@ -291,9 +285,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Data
         import pyarrow as pa
 
         for batch in batches:
-            step = max(1, int(batch.num_rows * (8 << 20) / max(1, batch.nbytes)))
-            for at in range(0, batch.num_rows, step):
-                r = batch.slice(at, step)
+            for r in slices(batch, 4 << 20):
                 ta, tb = r.column(2).to_pylist(), r.column(3).to_pylist()
                 number: dict = {}
                 for t in (*ta, *tb):
@@ -312,10 +304,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     ``percent``/100 or more between sets of ``words``-word shingles; kept marks
     the row with that id.  Empty or null texts have no shingle and no link.  A
     null doc_id links with nothing: its component_id is null and it is kept.
-    Rows that share a doc_id count as one document.  Only doc_id and text
-    are read.
+    Rows that share a doc_id count as one document.  A text is read whole
+    whatever its length, about two megabytes of texts (or one longer text) at a
+    time; an empty table gives no rows.  Only doc_id and text are read, so
+    other columns never clash.  Of the tables this makes on its way only the
+    two that the result reads stay in the shared folder.
     """
-    sketch = materialize(sketches(docs, words), "sketches")
+    with scratch() as kept:
+        return _near_duplicates(docs, words, percent, kept)
+
+
+def _near_duplicates(docs: DataFrame, words: int, percent: int, kept) -> DataFrame:
+    sketch = kept(materialize(sketches(docs, words), "sketches"))
     named = sketch.filter("n > 0 and doc_id is not null")
     classes = materialize(named.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")), "classes")
     lone = materialize(named.join(classes.select(F.col("rep").alias("doc_id"), "n", "s1", "s2"), ["doc_id", "n", "s1", "s2"]).dropDuplicates(["doc_id", "n", "s1", "s2"]), "class-sketches")
@@ -353,7 +353,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
             links = materialize(links.unionByName(confirm(exact, docs, words, percent)), "links")
             roots = materialize(components(links), "roots")
     root_of = classes.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("n", "s1", "s2", F.coalesce("root", "rep").alias("root"))
-    root_of = materialize(root_of, "class-roots")
+    root_of = kept(materialize(root_of, "class-roots"))
     with_root = sketch.select("doc_id", "n", "s1", "s2").join(root_of, ["n", "s1", "s2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     return with_root.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
