@@ -6,10 +6,12 @@ likelihood (term, c, pr_f).  Products are sums of logs.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.plans.storage import stored
+from termloom.plans.storage import measured, stored
 
 
 def initial(positives: DataFrame, others: DataFrame) -> DataFrame:
@@ -38,7 +40,7 @@ def posterior(samples: DataFrame, tf: DataFrame, prior: DataFrame, likelihood: D
     has one row for each sample and term), whatever its n; a sample without terms has the prior; a term that training lacks gives no
     evidence; ties are positive."""
     wide = likelihood.groupBy("term").agg(*(F.max(F.when(F.col("c") == c, F.ln("pr_f"))).alias(n) for c, n in ((1, "lp"), (-1, "ln"))))
-    logs = tf.select("sample_id", "term").join(wide, "term").groupBy("sample_id").agg(F.sum("lp").alias("lp"), F.sum("ln").alias("ln"))
+    logs = tf.select("sample_id", "term").join(measured(wide, "log-likelihood"), "term").groupBy("sample_id").agg(F.sum("lp").alias("lp"), F.sum("ln").alias("ln"))
     both = prior.agg(*(F.coalesce(F.max(F.when(F.col("c") == c, F.ln("pr_c"))), F.lit(float("-inf"))).alias(n) for c, n in ((1, "bp"), (-1, "bn"))))
     x = samples.select("sample_id").join(logs, "sample_id", "left").crossJoin(F.broadcast(both))
     x = x.select("sample_id", (F.coalesce("lp", F.lit(0.0)) + F.col("bp")).alias("a"), (F.coalesce("ln", F.lit(0.0)) + F.col("bn")).alias("b"))
@@ -52,20 +54,20 @@ def as_responsibilities(post: DataFrame) -> DataFrame:
     return post.select("sample_id", F.explode(F.array(F.struct(F.lit(1).alias("c"), F.col("p_pos").alias("pr")), F.struct(F.lit(-1).alias("c"), F.col("p_neg").alias("pr")))).alias("x")).select("sample_id", "x.*")
 
 
-def expectation_maximisation(tf: DataFrame, positives: DataFrame, mixed: DataFrame, stop: str = "converged", truth: DataFrame | None = None, max_rounds: int = 10) -> DataFrame:
-    """Posterior of ``mixed`` after EM; positives stay at 1 throughout.
+def expectation_maximisation(tf: DataFrame, positives: DataFrame, mixed: DataFrame, stop: str = "converged", truth: DataFrame | None = None, max_rounds: int | None = None) -> DataFrame:
+    """Posterior of ``mixed`` after EM; positives stay at 1 throughout.  ``tf``
+    may hold other samples too, and is read in each round: give a stored one.
 
-    ``converged`` stops when no prediction changes.  ``oracle`` stops on the
+    ``max_rounds`` asks for so many rounds at most; without it there are as
+    many as it takes.  ``converged`` stops when no prediction changes.  ``oracle`` stops on the
     true labels (sample_id, target), as the replicated procedure does: no
     positive missed, more missed than before, or no fewer both ways.  Each
     round's posterior is a stored table.
     """
     resp = initial(positives, mixed)
     accepted, before, marks = None, None, None
-    train = positives.select("sample_id").unionByName(mixed.select("sample_id"))
-    own = stored(tf.join(train, "sample_id", "left_semi"), "em-terms")
-    for _ in range(max_rounds):
-        post = stored(posterior(mixed, own, class_prior(resp), feature_likelihood(own, resp)), "em-posterior")
+    for _ in itertools.count() if max_rounds is None else range(max_rounds):
+        post = stored(posterior(mixed, tf, class_prior(resp), feature_likelihood(tf, resp)), "em-posterior")
         if stop == "oracle":
             row = post.join(truth, "sample_id").agg(F.count_if((F.col("target") == 1) & (F.col("predicted") == -1)).alias("fp"), F.count_if((F.col("target") == -1) & (F.col("predicted") == -1)).alias("fn")).first()
             now = (row["fp"], row["fn"])

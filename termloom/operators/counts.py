@@ -24,19 +24,18 @@ def totals(samples: DataFrame, tf: DataFrame) -> DataFrame:
     return used.crossJoin(samples.agg(F.count("*").alias("total_samples")))  # one row by one row
 
 
-def term_category_spread(tf: DataFrame, weights: DataFrame, categories: DataFrame, least_used: int = 50) -> DataFrame:
+def term_category_spread(cells: DataFrame, categories: DataFrame, least_used: int = 50) -> DataFrame:
     """How a term's weight is spread over level-2 categories.
 
-    For terms used at least ``least_used`` times: weight, count and weight
+    ``cells`` are (sample_id, term, n, weight).  For terms used at least ``least_used`` times: weight, count and weight
     ratio in each category, and the deviation of the ratios over all known
     categories, absent ones adding nothing.
     """
-    common = term_stats(tf).filter(F.col("term_used") >= least_used).select("term")
     known = categories.select(F.countDistinct("category_2").alias("k"))
-    weighed = weights.join(common, "term", "left_semi")
-    cells = tf.join(common, "term", "left_semi").join(weighed, ["sample_id", "term"]).join(categories, "sample_id")
-    each = cells.groupBy("term", "category_2").agg(F.sum("weight").alias("weight"), F.sum("n").alias("n"))
+    placed = cells.join(categories.withColumn("__in", F.lit(True)), "sample_id", "left")
+    each = placed.groupBy("term", "category_2", "__in").agg(F.sum("weight").alias("weight"), F.sum("n").alias("n"))
     own = W.partitionBy("term")  # a row for each category at most
-    ratio = each.withColumn("ratio", F.try_divide("weight", F.sum("weight").over(own))).crossJoin(F.broadcast(known))
+    common = each.withColumn("__used", F.sum("n").over(own)).filter(F.col("__in") & (F.col("__used") >= least_used)).drop("__used", "__in")
+    ratio = common.withColumn("ratio", F.try_divide("weight", F.sum("weight").over(own))).crossJoin(F.broadcast(known))
     centred = ratio.withColumn("mean", F.sum("ratio").over(own) / F.col("k"))
     return centred.withColumn("sd", F.sqrt(F.sum(F.pow(F.col("ratio") - F.col("mean"), 2) / F.col("k")).over(own))).drop("mean", "k")

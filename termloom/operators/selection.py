@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termloom.operators.categories import roll_up
-from termloom.operators.ranking import first_by_hash, with_position
+from termloom.operators.ranking import first_by_hash, ordered, with_position
 
 
 def content_status(content: Column) -> Column:
@@ -49,7 +49,7 @@ def positional(samples: DataFrame, start: int, count: int, name: str = "") -> Da
     """Rows start .. start + count of the order by the id as text, renumbered
     from 0, with a default label."""
     keyed = samples.withColumn("__key", F.col("sample_id").cast("string"))
-    placed = with_position(keyed, "__key", "__at", prefix=2)
+    placed = ordered(keyed, "__key", name="__at")
     out = placed.filter((F.col("__at") >= start) & (F.col("__at") < start + count))
     return out.withColumns({"new_id": F.col("__at") - start, "label": F.concat(F.lit(name), F.col("__key"))}).drop("__key", "__at")
 

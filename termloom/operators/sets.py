@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.operators.ranking import with_position
+from termloom.operators.ranking import ordered
 
 
 def merged(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -18,9 +18,9 @@ def appended(left: DataFrame, right: DataFrame) -> DataFrame:
     """All samples of (sample_id, label); the right side's ids go on after the
     left's count, in order of their text."""
     key = F.col("sample_id").cast("string")
-    a = with_position(left.withColumn("__key", key), "__key", "new_id").drop("__key")
+    a = ordered(left.withColumn("__key", key), "__key", name="new_id").drop("__key")
     size = left.agg(F.count("*").alias("__size"))
-    b = with_position(right.withColumn("__key", key), "__key", "new_id").drop("__key").crossJoin(F.broadcast(size))
+    b = ordered(right.withColumn("__key", key), "__key", name="new_id").drop("__key").crossJoin(F.broadcast(size))
     return a.unionByName(b.withColumn("new_id", F.col("new_id") + F.col("__size")).drop("__size"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,12 +44,12 @@ def learning_set(tf: DataFrame, dim: DataFrame, positives: DataFrame, negatives:
     return targets, keywords.select_terms(degrees, limits)
 
 
-def second_step(tf: DataFrame, positives: DataFrame, reliable: DataFrame, unknown: DataFrame, max_rounds: int = 10) -> DataFrame:
-    """EM from positives and reliable negatives over the unknown samples."""
+def second_step(tf: DataFrame, positives: DataFrame, reliable: DataFrame, unknown: DataFrame, max_rounds: int | None = None) -> DataFrame:
+    """EM from positives and reliable negatives over the unknown samples, until
+    no prediction changes or for ``max_rounds`` rounds after the first."""
     resp = bayes.initial(positives, reliable)
-    train = tf.join(resp.select("sample_id").distinct(), "sample_id", "left_semi")
-    post = stored(bayes.posterior(unknown, tf, bayes.class_prior(resp), bayes.feature_likelihood(train, resp)), "second-step")
-    for _ in range(max_rounds):
+    post = stored(bayes.posterior(unknown, tf, bayes.class_prior(resp), bayes.feature_likelihood(tf, resp)), "second-step")
+    for _ in itertools.count() if max_rounds is None else range(max_rounds):
         resp = bayes.initial(positives, reliable).unionByName(bayes.as_responsibilities(post))
         after = stored(bayes.posterior(unknown, tf, bayes.class_prior(resp), bayes.feature_likelihood(tf, resp)), "second-step")
         if after.join(post, ["sample_id", "predicted"], "left_anti").isEmpty():

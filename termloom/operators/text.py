@@ -51,14 +51,41 @@ def tokens(samples: DataFrame, method: Method = Method.LETTERS, **options) -> Da
     return samples.select("sample_id", F.posexplode(letter_words(F.coalesce(F.col("content"), F.lit("")))).alias("pos", "term"))
 
 
-def term_counts(samples: DataFrame, method: Method = Method.LETTERS, **options) -> DataFrame:
+def counted(words: Column) -> Column:
+    """array<struct<term, n>> of an array of words, by run lengths of its sorted order."""
+    let = lambda value, use: F.transform(F.array(value), use)[0]
+
+    def runs(z: Column) -> Column:
+        n = F.size(z)
+        heads = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.element_at(z, i) != F.element_at(z, F.greatest(i - 1, F.lit(1)))))
+        run = lambda a, b: F.struct(F.element_at(z, a).alias("term"), (b - a).cast("long").alias("n"))
+        return let(heads, lambda h: F.zip_with(h, F.concat(F.slice(h, 2, F.size(h)), F.array(n + 1)), run))
+
+    return let(F.array_sort(words), lambda z: F.when(F.size(z) > 0, runs(z)))
+
+
+def term_counts(samples: DataFrame, method: Method = Method.LETTERS, unique: bool = True, **options) -> DataFrame:
     """sample_id, term, n.
 
-    Texts are dealt by sample before they are cut: one row a sample moves
-    instead of one for each of its terms, and what is then counted by sample
-    moves no more.
+    A sample is one row (imports give every row an id of its own), so its words
+    are counted inside the row and nothing moves; ``unique`` False adds up the
+    rows that share an id.  Of n-grams only the text's start moves, before it
+    is cut.
     """
-    return tokens(samples.repartition("sample_id"), method, **options).groupBy("sample_id", "term").agg(F.count("*").alias("n"))
+    if method is Method.LETTERS:
+        rows = spread(samples.select("sample_id", "content"))
+        out = rows.select("sample_id", F.inline(counted(letter_words(F.coalesce(F.col("content"), F.lit(""))))))
+        return out if unique else out.groupBy("sample_id", "term").agg(F.sum("n").alias("n"))
+    start = F.substring("content", 1, options.get("most", 3001) + options.get("n", 4) - 1)
+    dealt = samples.select("sample_id", start.alias("content")).repartition("sample_id")
+    return tokens(dealt, method, **options).groupBy("sample_id", "term").agg(F.count("*").alias("n"))
+
+
+def spread(rows: DataFrame, small: int = 1 << 30) -> DataFrame:
+    """A table of less than ``small`` bytes, which may lie in one row group and
+    so in one task, is dealt to all tasks; a larger one stays where it is."""
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism) if size < small else rows
 
 
 def kept_by_pos(tagged: DataFrame, profile: str = "py") -> DataFrame:

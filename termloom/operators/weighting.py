@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termloom.operators.counts import term_stats
+from termloom.plans.storage import measured
 
 
 class Weighting(Enum):
@@ -16,16 +17,19 @@ class Weighting(Enum):
     TFIPNDF = 2
 
 
-def tfidf(tf: DataFrame, dim: DataFrame, terms: DataFrame | None = None, smooth: float = 0.0) -> DataFrame:
+def tfidf(tf: DataFrame, dim: DataFrame, terms: DataFrame | None = None, smooth: float = 0.0, with_n: bool = False) -> DataFrame:
     """weight = n / sample_terms * ln(N / df + smooth), explicit zeros kept.
 
     ``dim`` has every sample's length, also of samples without terms; N counts
-    them all.  ``terms`` only filters.
+    them all.  ``terms`` only filters.  ``with_n`` keeps the counts.  A word of
+    every sample is one key with a row for each, so the terms' side is stored
+    and measured: where it is small the counts stay in place.
     """
     n = dim.agg(F.count("*").cast("double").alias("__docs"))
     kept = tf if terms is None else tf.join(terms.select("term"), "term", "left_semi")
     idf = term_stats(tf).crossJoin(F.broadcast(n)).select("term", F.ln(F.col("__docs") / F.col("term_samples") + smooth).alias("__idf"))
-    return kept.join(idf, "term").join(dim.select("sample_id", "sample_terms"), "sample_id").select("sample_id", "term", (F.col("n") / F.col("sample_terms") * F.col("__idf")).alias("weight"))
+    weight = (F.col("n") / F.col("sample_terms") * F.col("__idf")).alias("weight")
+    return kept.join(measured(idf, "idf"), "term").join(dim.select("sample_id", "sample_terms"), "sample_id").select("sample_id", "term", *["n"] * with_n, weight)
 
 
 def tfidf_frobenius(tf: DataFrame, dim: DataFrame, use_idf: bool = True) -> DataFrame:
@@ -42,7 +46,7 @@ def tfrf(tf: DataFrame, dim: DataFrame, targets: DataFrame) -> DataFrame:
     rf = ln(2 + a / c + 1), or ln(2 + a) where c is 0."""
     sums = tf.join(targets, "sample_id").groupBy("term").agg(F.sum(F.when(F.col("target") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("target") == -1, F.col("n")).otherwise(0)).alias("c"))
     rf = sums.select("term", F.when(F.col("c") != 0, F.ln(F.try_divide("a", F.nullif("c", F.lit(0))) + 3)).otherwise(F.ln(F.col("a") + 2)).alias("rf"))
-    return tf.join(rf, "term").join(dim.select("sample_id", "sample_terms"), "sample_id").select("sample_id", "term", (F.col("n") / F.col("sample_terms") * F.col("rf")).alias("weight"))
+    return tf.join(measured(rf, "rf"), "term").join(dim.select("sample_id", "sample_terms"), "sample_id").select("sample_id", "term", (F.col("n") / F.col("sample_terms") * F.col("rf")).alias("weight"))
 
 
 def given(tf: DataFrame, weights: DataFrame) -> DataFrame:

@@ -99,8 +99,7 @@ def _spider(spark, d) -> DataFrame:
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    tf = _tf(spark, d)
-    w = weighting.tfidf(tf, counts.sample_dim(_samples(spark, d), tf))
+    w = weighting.tfidf(*_tf_dim(spark, d))
     rank = F.row_number().over(W.partitionBy("sample_id").orderBy(F.desc(F.round("weight", 9)), "term"))
     return _six(w.withColumn("rank", rank).filter("rank <= 10"), "weight")
 
@@ -142,9 +141,9 @@ def document_frequency(spark, d):
 @query
 def term_category_matrix(spark, d):
     tf = stored(_tf(spark, d), "tf")
-    w = weighting.tfidf(tf, counts.sample_dim(_samples(spark, d), tf))
+    cells = weighting.tfidf(tf, counts.sample_dim(_samples(spark, d), tf), with_n=True)
     cats = _assigned(spark, d).select("sample_id", categories.roll_up(F.col("category_id"), 2).alias("category_2"))
-    return _six(counts.term_category_spread(tf, w, cats), "weight", "ratio", "sd")
+    return _six(counts.term_category_spread(cells, cats), "weight", "ratio", "sd")
 
 
 @query
@@ -454,7 +453,8 @@ def sample_keyword_table(spark, d):
 @query
 def keyword_extract(spark, d):
     tf = _tf(spark, d)
-    idf = counts.term_stats(tf).filter("term_samples >= 3").select("term", F.ln(1000.0 / F.col("term_samples")).alias("idf"))
+    n = _samples(spark, d).agg(F.count("*").cast("double").alias("n"))
+    idf = counts.term_stats(tf).filter("term_samples >= 3").crossJoin(F.broadcast(n)).select("term", F.ln(F.col("n") / F.col("term_samples")).alias("idf"))
     stop = counts.term_stats(tf).filter("term_samples >= 200").select("term")
     return _six(segmentation.keywords(tf, idf, stop, 5), "score")
 
@@ -535,7 +535,14 @@ def sem_report(spark, d):
 @query
 def em_converged(spark, d):
     tf, _, p, u = _sides(spark, d)
-    return _six(bayes.expectation_maximisation(tf, p, u, max_rounds=4), "p_pos", "p_neg")
+    return _six(bayes.expectation_maximisation(tf, p, u), "p_pos", "p_neg")
+
+
+@query
+def s_em_second_step(spark, d):
+    tf, _, p, u = _sides(spark, d)
+    split = stored(spies.spy_split(tf, p, u), "split")
+    return _six(spies.second_step(tf, p, split.filter("reliable"), split.filter("not reliable")), "p_pos", "p_neg")
 
 
 # --- classifiers (row checks only) ---------------------------------------------
@@ -568,7 +575,19 @@ def svm_ovr_predict(spark, d):
 @query
 def bagging_vote(spark, d):
     rows = _vectors(spark, d)
-    return classifiers.bagging_vote(rows.filter("toxic is not null"), rows, bags=3)
+    return classifiers.bagging_vote(classifiers.bagging(rows.filter("toxic is not null")), rows)
+
+
+@query
+def bagging_report(spark, d):
+    train = _vectors(spark, d).filter("toxic is not null")
+    return _six(classifiers.bagging_report(classifiers.bagging(train), train), "accuracy", "oob_error")
+
+
+@query
+def train_and_eval(spark, d):
+    rows = classifiers.train_and_eval(_vectors(spark, d).filter("toxic is not null"))[1]
+    return evaluation.confusion(rows)
 
 
 @query
@@ -720,7 +739,7 @@ def prediction_lines(spark, d):
 
 @query
 def ordered_positions(spark, d):
-    return ranking.with_position(_table(spark, d, "customer").select("c_name"), "c_name", "place", prefix=12)
+    return ranking.ordered(_table(spark, d, "customer").select("c_name"), "c_name", name="place")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

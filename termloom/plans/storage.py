@@ -6,12 +6,14 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` under ``spark.checkpoint.dir`` and reads it back, which cuts
-    lineage and survives lost executors.  Only a single-process session may
-    leave the setting out."""
+def stored(df: DataFrame, name: str, schema: StructType | None = None) -> DataFrame:
+    """Writes ``df`` under ``spark.checkpoint.dir`` and reads it back, under
+    ``schema`` if given, which cuts lineage and survives lost executors.  Only a
+    single-process session may leave the setting out."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
@@ -22,4 +24,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
         base = spark.sparkContext.getCheckpointDir()
     path = f"{base.rstrip('/')}/termloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema or df.schema).parquet(path)
+
+
+def measured(df: DataFrame, name: str, most_rows: int = 500_000) -> DataFrame:
+    """``df`` stored, and marked for broadcast if it has ``most_rows`` or fewer;
+    beyond them a join moves both sides, and Spark splits what is skewed."""
+    out = stored(df, name)
+    return F.broadcast(out) if out.count() <= most_rows else out

@@ -67,18 +67,56 @@ _PARTS: dict[str, tuple[tuple[str, ...], str]] = {
 }
 
 
+def _em(name: str, positives: str, fixed: str, mixed: str, rounds: int = 12) -> None:
+    """Parts ``name`` (sample_id, p_pos, p_neg, predicted): EM from positives at
+    1 and ``mixed`` at 0 (``fixed``: at 0 throughout, too), unrolled; of its rounds
+    that one counts which is the first to predict as the one before it."""
+    at = lambda k: f"{name}_{k}"
+    held = f"SELECT sample_id, 1.0::DOUBLE AS p, 0.0::DOUBLE AS q FROM {positives}" + (f" UNION ALL SELECT sample_id, 0.0::DOUBLE, 1.0::DOUBLE FROM {fixed}" if fixed else "")
+    start = held if fixed else f"{held} UNION ALL SELECT sample_id, 0.0::DOUBLE, 1.0::DOUBLE FROM {mixed}"
+    needs = (positives, mixed) + ((fixed,) if fixed else ())
+    _PARTS[at("e0")] = (needs, start)
+    for k in range(1, rounds + 1):
+        e = at(f"e{k - 1}")
+        _PARTS[at(f"l{k}")] = (("tf", e), f"SELECT term, sum(n * p) AS a, sum(n * q) AS b FROM tf JOIN {e} USING (sample_id) GROUP BY 1")
+        _PARTS[at(f"t{k}")] = ((at(f"l{k}"),), f"SELECT sum(a) AS sa, sum(b) AS sb, count(*) AS v FROM {at(f'l{k}')}")
+        _PARTS[at(f"x{k}")] = (
+            ("tf", mixed, e, at(f"l{k}"), at(f"t{k}")),
+            f"SELECT m.sample_id, coalesce(lp, 0) + ln((SELECT sum(p) / count(*) FROM {e})) AS a, coalesce(lq, 0) + ln((SELECT sum(q) / count(*) FROM {e})) AS b FROM {mixed} m "
+            f"LEFT JOIN (SELECT sample_id, sum(ln((1 + a) / (v + sa))) AS lp, sum(ln((1 + b) / (v + sb))) AS lq FROM tf JOIN {at(f'l{k}')} USING (term) CROSS JOIN {at(f't{k}')} GROUP BY 1) USING (sample_id)",
+        )
+        _PARTS[at(f"p{k}")] = ((at(f"x{k}"),), f"SELECT {k} AS round, sample_id, 1 / (1 + exp(least(greatest(b - a, -700), 700))) AS p_pos, 1 / (1 + exp(-least(greatest(b - a, -700), 700))) AS p_neg, CASE WHEN a >= b THEN 1 ELSE -1 END AS predicted FROM {at(f'x{k}')}")
+        _PARTS[at(f"e{k}")] = ((*needs, at(f"p{k}")), f"{held} UNION ALL SELECT sample_id, p_pos, p_neg FROM {at(f'p{k}')}")
+    every = " UNION ALL ".join(f"SELECT * FROM {at(f'p{k}')}" for k in range(1, rounds + 1))
+    _PARTS[at("all")] = (tuple(at(f"p{k}") for k in range(1, rounds + 1)), every)
+    _PARTS[at("end")] = ((at("all"),), f"SELECT min(round) AS round FROM (SELECT b.round FROM {at('all')} a JOIN {at('all')} b ON a.sample_id = b.sample_id AND a.round + 1 = b.round GROUP BY 1 HAVING bool_and(a.predicted = b.predicted))")
+    _PARTS[name] = ((at("all"), at("end")), f"SELECT sample_id, p_pos, p_neg, predicted FROM {at('all')} JOIN {at('end')} USING (round)")
+
+
+_PARTS["rel"] = (("split",), "SELECT sample_id FROM split WHERE reliable")
+_PARTS["unk"] = (("split",), "SELECT sample_id FROM split WHERE NOT reliable")
+_PARTS["fold"] = (("pos",), "SELECT sample_id, row_number() OVER (ORDER BY md5(CAST(sample_id AS VARCHAR)), sample_id) <= floor((SELECT count(*) FROM pos) * 0.8::DOUBLE) AS known FROM pos")
+_PARTS["fpos"] = (("fold",), "SELECT sample_id FROM fold WHERE known")
+_PARTS["fmix"] = (("fold", "unl"), "SELECT sample_id FROM fold WHERE NOT known UNION ALL SELECT sample_id FROM unl")
+_em("em", "pos", "", "unl")
+_em("em2", "pos", "rel", "unk")
+_em("iem", "fpos", "", "fmix")
+_PARTS["iconf"] = (("iem", "fold"), "SELECT count(*) FILTER (target = 1 AND predicted = 1) AS tp, count(*) FILTER (target = 1 AND predicted = -1) AS fp, count(*) FILTER (target = -1 AND predicted = 1) AS tn, count(*) FILTER (target = -1 AND predicted = -1) AS fn FROM (SELECT predicted, CASE WHEN sample_id IN (SELECT sample_id FROM fold) THEN 1 ELSE -1 END AS target FROM iem)")
+
+
 def _with(body: str, *parts: str) -> str:
     order: list[str] = []
 
     def add(name: str) -> None:
+        if name in order:
+            return
         for p in _PARTS[name][0]:
             add(p)
-        if name not in order:
-            order.append(name)
+        order.append(name)
 
     for p in parts:
         add(p)
-    return ("WITH " + ",\n".join(f"{p} AS ({_PARTS[p][1]})" for p in order) + "\n" if order else "") + body
+    return ("WITH " + ",\n".join(f"{p} AS MATERIALIZED ({_PARTS[p][1]})" for p in order) + "\n" if order else "") + body
 
 
 def _r(*names: str, digits: int = 6) -> str:
@@ -87,6 +125,15 @@ def _r(*names: str, digits: int = 6) -> str:
 
 _ZERO = "coalesce({0} / nullif({1}, 0), 0)"
 
+
+def _report(counts: str) -> str:
+    """Precision, recall and F1 of both classes from a part of counts."""
+    return _with(
+        f", q AS (SELECT *, {_ZERO.format('tp', '(tp + tn)')} AS a, {_ZERO.format('tp', '(tp + fp)')} AS b, {_ZERO.format('fn', '(fn + fp)')} AS c, {_ZERO.format('fn', '(fn + tn)')} AS d FROM {counts}) SELECT tp, fp, tn, fn, round(a, 6) AS p_precision, round(b, 6) AS p_recall, round(c, 6) AS n_precision, round(d, 6) AS n_recall, round({_ZERO.format('2 * a * b', '(a + b)')}, 6) AS p_f1, round({_ZERO.format('2 * c * d', '(c + d)')}, 6) AS n_f1 FROM q",
+        counts,
+    ).replace("\n, q AS", ",\nq AS")
+
+
 TWINS: dict[str, str] = {
     "tf_counts": _with("SELECT sample_id, term, n FROM tf", "tf"),
     "term_stats": _with("SELECT * FROM st", "st"),
@@ -160,19 +207,19 @@ TWINS: dict[str, str] = {
     ),
     "sample_keyword_table": _with(f"SELECT term, n, {_r('degree', 'speciality', 'popularity')} FROM tf JOIN pd USING (term) WHERE sample_id = 28", "pd"),
     "keyword_extract": _with(
-        """, i AS (SELECT term, ln(1000.0::DOUBLE / term_samples) AS idf FROM st WHERE term_samples >= 3)
+        """, i AS (SELECT term, ln((SELECT CAST(count(*) AS DOUBLE) FROM documents) / term_samples) AS idf FROM st WHERE term_samples >= 3)
         SELECT sample_id, term, round(x, 6) AS score, rank FROM (SELECT sample_id, term, x, CAST(row_number() OVER (PARTITION BY sample_id ORDER BY round(x, 9) DESC, term) AS INTEGER) AS rank
         FROM (SELECT sample_id, tf.term, n * coalesce(idf, (SELECT avg(idf) FROM i)) AS x FROM tf LEFT JOIN i ON i.term = tf.term WHERE length(tf.term) > 1 AND tf.term NOT IN (SELECT term FROM st WHERE term_samples >= 200))) WHERE rank <= 5""",
         "st",
     ).replace("\n, i AS", ",\ni AS"),
     "nb_class_prior": _with("SELECT c, round(pr_c, 6) AS pr_c FROM pc", "pc"),
     "nb_feature_probs": _with("SELECT term, c, round(pr_f, 9) AS pr_f FROM lik", "lik"),
+    "em_converged": _with(f"SELECT sample_id, predicted, {_r('p_pos', 'p_neg')} FROM em", "em"),
+    "s_em_second_step": _with(f"SELECT sample_id, predicted, {_r('p_pos', 'p_neg')} FROM em2", "em2"),
     "nb_posterior": _with(f"SELECT sample_id, predicted, {_r('p_pos', 'p_neg')} FROM post", "post", "pos"),
     "confusion_matrix": _with("SELECT * FROM conf", "conf"),
-    "prf_report": _with(
-        f", q AS (SELECT *, {_ZERO.format('tp', '(tp + tn)')} AS a, {_ZERO.format('tp', '(tp + fp)')} AS b, {_ZERO.format('fn', '(fn + fp)')} AS c, {_ZERO.format('fn', '(fn + tn)')} AS d FROM conf) SELECT tp, fp, tn, fn, round(a, 6) AS p_precision, round(b, 6) AS p_recall, round(c, 6) AS n_precision, round(d, 6) AS n_recall, round({_ZERO.format('2 * a * b', '(a + b)')}, 6) AS p_f1, round({_ZERO.format('2 * c * d', '(c + d)')}, 6) AS n_f1 FROM q",
-        "conf",
-    ).replace("\n, q AS", ",\nq AS"),
+    "prf_report": _report("conf"),
+    "i_em_report": _report("iconf"),
     "class_report": _with(
         f", k AS (SELECT unnest([1, -1]) AS class), q AS (SELECT class, (SELECT count(*) FROM post WHERE target = class) AS support, (SELECT count(*) FROM post WHERE predicted = class) AS called, (SELECT count(*) FROM post WHERE predicted = class AND target = class) AS hit FROM k) SELECT class, support, round({_ZERO.format('hit', 'called')}, 6) AS precision, round({_ZERO.format('hit', 'support')}, 6) AS recall, round({_ZERO.format('2.0 * hit', '(support + called)')}, 6) AS f1 FROM q WHERE support + called > 0",
         "post", "pos",
