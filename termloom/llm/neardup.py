@@ -11,7 +11,7 @@ next neighbours by longest common prefix are taken at every depth.  So a
 region gives a number of pairs in proportion to its classes whatever its size.
 In a large region the class that shares most of its prefixes with others, its
 centre, is paired with all that are not yet linked to it, and so is the centre
-of what is then left, as long as that finds links: copies of one text with
+of what is then left, until a round finds no link: copies of one text with
 changes of their own are alike to that text but seldom to each other.  What
 large regions then still hold in several components is joined on the rarest
 shingles of each set (a prefix filter, exact), so that no pair in them is lost.
@@ -256,9 +256,7 @@ def _exact_pairs(unsettled: DataFrame, docs: DataFrame, words: int, percent: int
     A shared shingle is a candidate if what follows it in both sets suffices.
     Of a shingle's classes only those outside its commonest component are
     paired with all, since others would pair inside that component."""
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    texts = sieve(named, "doc_id", unsettled.select("doc_id")).join(unsettled, "doc_id").select("doc_id", "root", F.coalesce("text", F.lit("")).alias("text"))
-    texts = materialize(texts, "unsettled-texts")
+    texts = materialize(_texts(docs, unsettled).select("doc_id", "root", "text"), "unsettled-texts")
     rows = materialize(_prefixes(texts, words, percent), "rare-shingles")
     discard(texts)
     counts = materialize(rows.groupBy("shingle", "root").agg(F.count("*").alias("c")), "shingle-roots")
@@ -272,12 +270,20 @@ def _exact_pairs(unsettled: DataFrame, docs: DataFrame, words: int, percent: int
     return x.join(y, "shingle").filter(close).select(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b")).distinct()
 
 
+def _texts(docs: DataFrame, wanted: DataFrame, few: int = 500_000) -> DataFrame:
+    """doc_id, text and the columns of ``wanted`` of the documents in it: up to
+    ``few`` rows of it (8 MB of numbers) go to the documents, more meet those
+    that pass a bitmap."""
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    if wanted.count() <= few:
+        return named.join(F.broadcast(wanted), "doc_id")
+    return sieve(named, "doc_id", wanted.select("doc_id")).join(wanted, "doc_id")
+
+
 def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    wanted = materialize(wanted, "candidate-ids")
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    texts = materialize(sieve(named, "doc_id", wanted).join(wanted, "doc_id"), "candidate-texts")
+    texts = materialize(_texts(docs, materialize(wanted, "candidate-ids")), "candidate-texts")
     left = pairs.select("a", "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
     both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
@@ -335,17 +341,15 @@ def _near_duplicates(docs: DataFrame, words: int, percent: int, kept) -> DataFra
         roots = materialize(components(links), "roots")
     tested = pairs.select("a", "b")
     crowded = members = _members(crowd)
-    idle = 0
-    while idle < 2 and not members.isEmpty():
+    while not members.isEmpty():
         central, members = _central_pairs(members, roots, percent)
         central = materialize(central.join(tested, ["a", "b"], "left_anti"), "central-pairs")
         fresh = None if central.isEmpty() else materialize(confirm(central, docs, words, percent), "central-links")
         if fresh is None or fresh.isEmpty():
-            idle += 1
-        else:
-            idle, tested = 0, tested.unionByName(central)
-            links = materialize(links.unionByName(fresh), "links")
-            roots = materialize(components(links), "roots")
+            break  # what is left apart is joined exactly
+        tested = tested.unionByName(central)
+        links = materialize(links.unionByName(fresh), "links")
+        roots = materialize(components(links), "roots")
     unsettled = _unsettled(crowded, roots)
     if not unsettled.isEmpty():
         exact = materialize(_exact_pairs(unsettled, docs, words, percent).join(tested, ["a", "b"], "left_anti"), "exact-pairs")

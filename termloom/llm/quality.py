@@ -217,12 +217,11 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = 3000, unlabelled:
         import pyarrow as pa
 
         for batch in batches:
-            step = max(1, int(batch.num_rows * (1 << 20) / max(1, batch.nbytes)))
-            for at in range(0, batch.num_rows, step):
-                texts, langs, sources = (batch.slice(at, step).column(k).to_pylist() for k in (2, 3, 4))
+            for rows in slices(batch):
+                texts, langs, sources = (rows.column(k).to_pylist() for k in (2, 3, 4))
                 shares, meta = text_shares(texts), meta_features(texts, langs, sources)
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.slice(at, step).column(k) for k in (0, 1)), *(pa.array([x[k].tobytes() for x in shares], pa.binary()) for k in (0, 1)), pa.array([x.tobytes() for x in meta], pa.binary())],
+                    [*(rows.column(k) for k in (0, 1)), *(pa.array([x[k].tobytes() for x in shares], pa.binary()) for k in (0, 1)), pa.array([x.tobytes() for x in meta], pa.binary())],
                     names=["doc_id", "y", "which", "share", "meta"],
                 )
 
@@ -241,8 +240,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, la
     Each view's probability is calibrated; accepted means quality_score >=
     ``threshold``.  Null texts are empty, null lang or source are values of
     their own; without labels of both kinds everything is accepted with score
-    1.  Rows that share a doc_id are scored each.  Columns of ``docs`` with
-    the new names are replaced; no row moves.
+    1.  Rows that share a doc_id are scored each, alike if they are alike; an
+    empty table gives no rows.  A text is read whole whatever its length, about
+    a megabyte of texts (or one longer text) at a time.  Columns of ``docs``
+    with the new names are replaced, others pass; no row moves.
     """
     from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
@@ -254,9 +255,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, la
         import pyarrow as pa
 
         for batch in batches:
-            step = max(1, int(batch.num_rows * (1 << 20) / max(1, batch.nbytes)))
-            for at in range(0, batch.num_rows, step):
-                rows = batch.slice(at, step)
+            for rows in slices(batch):
                 column = lambda n: rows.column(rows.schema.get_field_index(n))  # noqa: E731, B023
                 one = np.ones(rows.num_rows)
                 p = (one, one, one) if model.value is None else model.value.score(column("text").to_pylist(), column("lang").to_pylist(), column("source").to_pylist())

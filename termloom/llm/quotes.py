@@ -160,7 +160,9 @@ def reply_ordered(messages: DataFrame) -> DataFrame:
     ``<|role|>`` and the own text.  A null text is empty, a null role
     ``unknown``; rows with a null conv_id or turn have no link and no position;
     rows that share (conv_id, turn) are one place in the thread and are all
-    kept; an empty table gives none.  Only conv_id, turn, role and text are read.
+    kept, each with its own content; an empty table gives none.  A text is
+    parsed whole whatever its length, and each of its passages is hashed once.
+    Only conv_id, turn, role and text are read, so other columns never clash.
     """
     parsed = materialize(parse(messages), "messages")
     linked = materialize(links(parsed), "links")

@@ -8,9 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-_PIECE = 14  # 2**14 words of 32 bits are a piece
-
-
 def _bit(ids: np.ndarray, bits: int) -> np.ndarray:
     x = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     return ((x ^ (x >> np.uint64(29))) & np.uint64(bits - 1)).astype(np.int64)
@@ -22,7 +19,7 @@ def sieve(df: DataFrame, column: str, ids: DataFrame, most_bits: int = 1 << 26)
     No such row is ever lost; others pass at a rate that grows with the ids,
     so an exact join must follow.  The bitmap has at most ``most_bits`` (8 MB)
     whatever the number of ids; it is merged word by word in Spark and comes to
-    the driver in packed pieces of 64 kB.
+    the driver as two columns.
     """
     name = ids.columns[0]
     n = ids.count()
@@ -34,22 +31,9 @@ def sieve(df: DataFrame, column: str, ids: DataFrame, most_bits: int = 1 << 26)
 
     at = ids.filter(F.col(name).isNotNull()).select(place(name).alias("b"))
     words = at.groupBy(F.shiftright("b", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(b & 31))")).alias("m"))
-
-    def pack(batches):
-        import pyarrow as pa
-
-        pieces: dict[int, np.ndarray] = {}
-        for batch in batches:
-            w, m = (batch.column(k).to_numpy() for k in (1, 2))
-            for piece in np.unique(w >> _PIECE).tolist():
-                own = (w >> _PIECE) == piece
-                pieces.setdefault(piece, np.zeros(1 << _PIECE, dtype=np.uint32))[w[own] & ((1 << _PIECE) - 1)] = m[own].astype(np.uint32)
-        yield pa.RecordBatch.from_arrays([pa.array(list(pieces), pa.int64()), pa.array([x.tobytes() for x in pieces.values()], pa.binary())], names=["piece", "bits"])
-
-    piece = F.shiftright("w", _PIECE).alias("piece")
-    table = np.zeros(max(bits // 32, 1 << _PIECE), dtype=np.uint32)
-    for r in words.select(piece, "w", "m").repartition("piece").mapInArrow(pack, "piece long, bits binary").collect():
-        table[r["piece"] << _PIECE : (r["piece"] + 1) << _PIECE] = np.frombuffer(r["bits"], dtype=np.uint32)
+    merged = words.toArrow()  # columns of at most 2**21 words, no row objects
+    table = np.zeros(bits // 32, dtype=np.uint32)
+    table[merged.column("w").to_numpy()] = merged.column("m").to_numpy().astype(np.uint32)
     held = df.sparkSession.sparkContext.broadcast(table)
 
     @F.pandas_udf("boolean")
