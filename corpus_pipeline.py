@@ -18,33 +18,57 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained quality classifier accepts."""
+    """Documents that the co-trained quality classifier accepts.
+
+    A null or empty text is scored like any other, a null lang or source is a
+    value of its own; a very long text is scored whole; repeated rows share one
+    fate; an empty table stays empty.  Columns beyond ``COLUMNS`` go, here and in
+    the stages below, so their names never clash.
+    """
     scored = quality.score_quality(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
     return scored.filter("accepted").select(*COLUMNS)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The least doc_id of each near-duplicate group (five-word shingles, 0.8)."""
+    """The least doc_id of each near-duplicate group (five-word shingles, 0.8).
+
+    Texts that are null or without words have no copies and stay, and so do rows
+    with a null doc_id; rows that share a doc_id are one document and stay or go
+    together; very long texts are compared whole; an empty table stays empty.
+    """
     gone = neardup.near_duplicates(docs, words=5, percent=80).filter("not kept").select("doc_id").distinct()
     return docs.select(*COLUMNS).join(materialize(gone, "near-copies"), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of eight words of any benchmark item and
-    with one shorter item at most."""
+    with one shorter item at most.
+
+    Texts that are null or without words stay; very long texts are searched
+    whole; repeated rows share one fate; an empty table stays empty.
+    """
     found = decontam.contamination(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"), full_suffices=True)
     return found.filter("not contaminated").select(*COLUMNS)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by ``<KIND>``; n_chars follows."""
+    """All documents, personal data replaced by ``<KIND>``; n_chars follows.
+
+    A null text stays null, an empty one empty; very long texts are searched
+    whole; repeated rows are redacted alike; an empty table stays empty.
+    """
     clean = pii.redact(pii.find_pii(docs.select(*COLUMNS)))
     n_chars = F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return clean.withColumn("n_chars", n_chars).select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 1024 tokens and their places in sequences."""
+    """Pieces of at most 1024 tokens and their places in sequences.
+
+    A null text is empty and gives its end id alone; a very long one gives as
+    many pieces as it needs; repeated rows and rows with a null doc_id are packed
+    each; an empty table gives no piece.
+    """
     return packing.pack_documents(docs, capacity=1024)
 
 
