@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from termloom.operators import classifiers, counts, keywords, ranking
+from termloom.operators import classifiers, counts, keywords, ranking, text
 from termloom.plans import learning
 from termloom.sources import sinks
 
@@ -101,6 +101,39 @@ def test_category_weights_are_the_degrees(world):
     assert cells.count() == tf.count()
 
 
+def test_bagging_votes_and_out_of_bag_error(world):
+    tf, _, p, u = world
+    targets = p.withColumn("target", F.lit(1)).unionByName(u.filter("sample_id >= 110").withColumn("target", F.lit(-1)))
+    cells = tf.select("sample_id", "term", F.col("n").cast("double").alias("weight"))
+    train = classifiers.vectors(cells, classifiers.feature_index(cells), targets)
+    bagged = classifiers.bagging(train, bags=3, bag_rows=10)
+    drawn = {(r["bag"], r["sample_id"]) for r in bagged.bags.collect()}
+    truth = {r["sample_id"]: r["target"] for r in targets.collect()}
+    assert len(drawn) == 30 and {b for b, _ in drawn} == {0, 1, 2}
+    ballots = {(b, r["sample_id"]): r["predicted"] for b, m in enumerate(bagged.models) for r in classifiers.svm_scores(m, train).collect()}
+    assert {r["sample_id"]: r["votes"] for r in classifiers.bagging_vote(bagged, train).collect()} == {i: sum(ballots[b, i] == 1 for b in range(3)) for i in truth}
+
+    def share(seen, wanted):
+        right = []
+        for i, t in truth.items():
+            own = [ballots[b, i] for b in range(3) if seen or (b, i) not in drawn]
+            right += [(1 if 2 * own.count(1) > len(own) else -1) == t] if own else []
+        return sum(x == wanted for x in right) / len(right)
+
+    got = classifiers.bagging_report(bagged, train).first()
+    assert got["accuracy"] == pytest.approx(share(True, True)) and got["oob_error"] == pytest.approx(share(False, False))
+    _, predicted = classifiers.train_and_eval(train, lambda t: classifiers.biased_svm(t, c_negative=1.0))
+    assert predicted.count() == 110 and predicted.filter("target = predicted").count() >= 100
+
+
+def test_counts_inside_a_row(spark):
+    texts = ["b a b, A", None, "", "x", "éa éa 12 zz\nzz zz"]
+    rows = spark.createDataFrame([*enumerate(texts), (4, "zz new")], "sample_id long, content string")
+    got = sorted(tuple(r) for r in text.term_counts(rows.filter("content is null or content <> 'zz new'")).collect())
+    assert got == [(4, "zz", 3), (4, "éa", 2)]
+    assert sorted(tuple(r) for r in text.term_counts(rows, unique=False).collect()) == [(4, "new", 1), (4, "zz", 4), (4, "éa", 2)]
+
+
 def test_places_in_any_order(spark):
     df = spark.range(1000).select("id", (F.col("id") % 7).alias("k")).repartition(5)
     got = ranking.ordered(df, F.desc("k"), "id", name="place").orderBy("place").collect()

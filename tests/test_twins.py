@@ -9,7 +9,7 @@ from termloom.plans import catalog
 
 D = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-NAMES = "tf_counts doc_lengths char_ngrams4 vocab_diff vocab_merge category_usage category_names url_report spider_range positional_subset cv_split by_category_2 clone_subset merge_samples append_samples tfidf_cpp tfrf svm_lines pd_by_category sample_positive_degree keyword_extract term_category_matrix nb_posterior prf_report recall_at_k spy_threshold_split sem_report event_windows".split()
+NAMES = "tf_counts doc_lengths char_ngrams4 vocab_diff vocab_merge category_usage category_names url_report spider_range positional_subset cv_split by_category_2 clone_subset merge_samples append_samples tfidf_cpp tfrf svm_lines pd_by_category sample_positive_degree keyword_extract term_category_matrix nb_posterior prf_report em_converged s_em_second_step i_em_report sample_keyword_table ordered_positions recall_at_k spy_threshold_split sem_report event_windows".split()
 
 
 @pytest.fixture(scope="module")
