@@ -47,11 +47,13 @@ def learning_set(tf: DataFrame, dim: DataFrame, positives: DataFrame, negatives:
 def second_step(tf: DataFrame, positives: DataFrame, reliable: DataFrame, unknown: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """EM from positives and reliable negatives over the unknown samples, until
     no prediction changes or for ``max_rounds`` rounds after the first."""
-    resp = bayes.initial(positives, reliable)
-    post = stored(bayes.posterior(unknown, tf, bayes.class_prior(resp), bayes.feature_likelihood(tf, resp)), "second-step")
+    resp, rounds = bayes.initial(positives, reliable), bayes.Rounds(tf)
+    rounds.learn(bayes.shares(resp))
+    post = stored(rounds.judge(unknown, bayes.class_prior(resp)), "second-step")
     for _ in itertools.count() if max_rounds is None else range(max_rounds):
         resp = bayes.initial(positives, reliable).unionByName(bayes.as_responsibilities(post))
-        after = stored(bayes.posterior(unknown, tf, bayes.class_prior(resp), bayes.feature_likelihood(tf, resp)), "second-step")
+        rounds.learn(bayes.shares(resp))
+        after = stored(rounds.judge(unknown, bayes.class_prior(resp)), "second-step")
         if after.join(post, ["sample_id", "predicted"], "left_anti").isEmpty():
             return after
         post = after

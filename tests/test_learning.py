@@ -3,8 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from termloom.operators import classifiers, counts, keywords, ranking, text
-from termloom.plans import learning
+from termloom.operators import bayes, classifiers, counts, keywords, ranking, spies, text, weighting
+from termloom.plans import learning, storage
 from termloom.sources import sinks
 
 LIMITS = keywords.Thresholds(0.6, 0.6, 0.01)
@@ -140,3 +140,32 @@ def test_places_in_any_order(spark):
     assert [r["place"] for r in got] == list(range(1000))
     assert [r["id"] for r in got] == sorted(range(1000), key=lambda i: (-(i % 7), i))
     assert ranking.ordered(df.limit(0), "id").collect() == []
+
+
+def test_rare_terms_move_and_common_ones_are_broadcast(spark, world, monkeypatch):
+    tf, dim, p, u = world
+    place = "sample_id", "term"
+
+    def results():
+        rows = lambda df, *keys: [tuple(r) for r in df.orderBy(*keys).collect()]
+        em = rows(bayes.expectation_maximisation(tf, p, u), "sample_id")
+        second = rows(spies.second_step(tf, p, u.filter("sample_id >= 150"), u.filter("sample_id < 150")), "sample_id")
+        post = bayes.posterior(u, tf, bayes.class_prior(bayes.initial(p, u)), bayes.feature_likelihood(tf, bayes.initial(p, u)))
+        given = weighting.given(tf, counts.term_stats(tf).select("term", F.lit(0.5).alias("weight"), "term_samples"))
+        vectors = [(r["sample_id"], r["features"]) for r in classifiers.tfidf_vectors(tf, dim, dim.select("sample_id")).orderBy("sample_id").collect()]
+        return em, second, rows(post, "sample_id"), rows(weighting.tfidf(tf, dim), *place), rows(given, *place), vectors
+
+    whole = results()
+    monkeypatch.setattr(storage, "MOST_TERMS", 3)
+    assert storage.least_common(counts.term_stats(tf), F.col("term_samples")) is not None
+    for a, b in zip(whole, results(), strict=True):
+        assert len(a) == len(b)
+        assert all(x == (pytest.approx(y) if isinstance(x[-1], float | int) else y) for x, y in zip(a, b, strict=True))
+
+
+def test_counts_stored_by_sample_stay_in_place(spark):
+    rows = spark.createDataFrame([(i, f"aa bb{'x' * (i % 3)} cc" * (i % 4)) for i in range(50)], "sample_id long, content string")
+    tf = text.stored_counts(rows)
+    assert sorted(map(tuple, tf.collect())) == sorted(map(tuple, text.term_counts(rows).collect()))
+    plan = tf.groupBy("sample_id").agg(F.sum("n"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
