@@ -169,3 +169,12 @@ def test_counts_stored_by_sample_stay_in_place(spark):
     assert sorted(map(tuple, tf.collect())) == sorted(map(tuple, text.term_counts(rows).collect()))
     plan = tf.groupBy("sample_id").agg(F.sum("n"))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_gram_totals_are_those_of_the_rows(spark):
+    data = ["abcdabcd", "", None, "abc", "ab😀cd" * 3, "ab cd ef gh" * 400, "abcdé"]
+    rows = spark.createDataFrame([*enumerate(data)], "sample_id long, content string")
+    for n in (4, 30):
+        cells = text.term_counts(rows, text.Method.NGRAM, n=n)
+        want = cells.groupBy("term").agg(F.sum("n").alias("n"), F.count("*").alias("samples"))
+        assert sorted(map(tuple, text.ngram_totals(rows, n).collect())) == sorted(map(tuple, want.collect()))
