@@ -178,3 +178,12 @@ def test_gram_totals_are_those_of_the_rows(spark):
         cells = text.term_counts(rows, text.Method.NGRAM, n=n)
         want = cells.groupBy("term").agg(F.sum("n").alias("n"), F.count("*").alias("samples"))
         assert sorted(map(tuple, text.ngram_totals(rows, n).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_a_bag_weighs_only_its_own_features(spark):
+    cells = spark.createDataFrame([(i, f"w{i}", 1.0) for i in range(200)] + [(i, "odd" if i % 2 else "even", 1.0) for i in range(200)], "sample_id long, term string, weight double")
+    targets = spark.range(200).select(F.col("id").alias("sample_id"), F.when(F.col("id") % 2 == 1, 1).otherwise(-1).alias("target"))
+    train = classifiers.vectors(cells, classifiers.feature_index(cells), targets)
+    bagged = classifiers.bagging(train, bags=2, bag_rows=10)
+    assert all(m.coefficients.size == 202 and len(m.coefficients.indices) <= 12 for m in bagged.models)
+    assert {r["votes"] for r in classifiers.bagging_vote(bagged, train.filter("target = 1")).collect()} == {2}
