@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from termloom.operators import bayes, classifiers, counts, keywords, ranking, spies, text, weighting
-from termloom.plans import learning, storage
+from termloom.plans import catalog, learning, storage
 from termloom.sources import sinks
 
 LIMITS = keywords.Thresholds(0.6, 0.6, 0.01)
@@ -187,3 +187,8 @@ def test_a_bag_weighs_only_its_own_features(spark):
     bagged = classifiers.bagging(train, bags=2, bag_rows=10)
     assert all(m.coefficients.size == 202 and len(m.coefficients.indices) <= 12 for m in bagged.models)
     assert {r["votes"] for r in classifiers.bagging_vote(bagged, train.filter("target = 1")).collect()} == {2}
+
+
+def test_vocabularies_cut_texts_once(spark):
+    plan = catalog.queries()["vocab_diff"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan
