@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from termloom.operators import bayes, classifiers, counts, keywords, ranking, spies, text, weighting
+from termloom.operators import bayes, classifiers, counts, keywords, linear, ranking, spies, text, weighting
 from termloom.plans import catalog, learning, storage
 from termloom.sources import sinks
 
@@ -192,3 +192,28 @@ def test_a_bag_weighs_only_its_own_features(spark):
 def test_vocabularies_cut_texts_once(spark):
     plan = catalog.queries()["vocab_diff"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_extract_all" not in plan
+
+
+def test_machines_of_many_features_are_those_of_mllib_and_stay_on_the_executors(spark, monkeypatch, tmp_path):
+    cells = spark.range(60).selectExpr("id sample_id", "explode(sequence(0, 6)) k").selectExpr("sample_id", "concat('w', (sample_id * (k + 3) + k * k) % 41) term", "1.0 / (1 + (sample_id + k) % 5) weight").dropDuplicates(["sample_id", "term"])
+    targets = spark.range(62).select(F.col("id").alias("sample_id"), F.when(F.col("id") % 3 == 1, 1).otherwise(-1).alias("target"), (F.col("id") % 3).alias("label"), F.concat(F.lit("of "), "id").alias("kept"))
+    rows = classifiers.vectors(cells, classifiers.feature_index(cells), targets)  # two rows are empty
+
+    def results():
+        model = classifiers.biased_svm(rows, c_negative=3.0, max_iter=12)
+        scores = {r["sample_id"]: r["score"] for r in classifiers.svm_scores(model, rows).collect()}
+        many = classifiers.one_vs_rest(rows, 2).transform(rows)
+        return model, scores, {r["kept"]: r["prediction"] for r in many.select("kept", "prediction").collect()}
+
+    whole, scores, many = results()
+    monkeypatch.setattr(classifiers, "MOST_FEATURES", 5)
+    monkeypatch.setattr(linear, "BLOCK_WEIGHTS", 30)
+    model, own, others = results()
+    assert isinstance(model, linear.Machines) and model.pieces > 1 and model.parts.count() == model.pieces
+    assert own == pytest.approx(scores, abs=1e-6) and others == many
+    assert list(model.coefficients) == pytest.approx(list(whole.coefficients), abs=1e-6)
+    classifiers.save_model(model, str(tmp_path / "m"))
+    assert {r["sample_id"]: r["score"] for r in classifiers.svm_scores(classifiers.load_model(str(tmp_path / "m")), rows).collect()} == pytest.approx(own)
+    index = classifiers.feature_index(cells)
+    weights = {r["idx"]: r["weight"] for r in classifiers.coefficients(model, index).collect()}
+    assert [weights[i] for i in range(len(weights))] == pytest.approx(list(whole.coefficients), abs=1e-6)
