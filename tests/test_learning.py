@@ -1,9 +1,10 @@
 """Learning drivers on separable toy data, against their definitions."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from termloom.operators import bayes, classifiers, counts, keywords, linear, ranking, spies, text, weighting
+from termloom.operators import bayes, classifiers, clusters, counts, keywords, linear, ranking, spies, text, weighting
 from termloom.plans import catalog, learning, storage
 from termloom.sources import sinks
 
@@ -217,3 +218,57 @@ def test_machines_of_many_features_are_those_of_mllib_and_stay_on_the_executors(
     index = classifiers.feature_index(cells)
     weights = {r["idx"]: r["weight"] for r in classifiers.coefficients(model, index).collect()}
     assert [weights[i] for i in range(len(weights))] == pytest.approx(list(whole.coefficients), abs=1e-6)
+
+
+def _toy_shares(spark, monkeypatch):
+    """(shares, dense tf-idf) of 300 samples; the last has only the word of all samples, which weighs nothing."""
+    monkeypatch.setattr(clusters, "BLOCK_CELLS", 200)
+    monkeypatch.setattr(clusters, "SAMPLE_RANGE", 64)
+    rng = np.random.default_rng(3)
+    data = {(i, f"é{(i % 4) * 10 + int(t)}"): 1.0 + int(rng.integers(4)) for i in range(299) for t in rng.integers(0, 14, 6)}
+    data |= {(i, "all"): 1.0 for i in range(300)}
+    shares = spark.createDataFrame([(t, i, n) for (i, t), n in data.items()], "term string, place long, share double").repartition(3)
+    terms = sorted({t for _, t in data})
+    x = np.zeros((300, len(terms)))
+    for (i, t), n in data.items():
+        x[i, terms.index(t)] = n
+    return shares, x * np.log(300 / (x > 0).sum(axis=0)), len(data)
+
+
+def test_clusters_by_term_take_the_rounds_of_mllib(spark, monkeypatch):
+    from pyspark.mllib.clustering import KMeans, KMeansModel
+
+    shares, x, cells = _toy_shares(spark, monkeypatch)
+    blocks = clusters.blocked(shares, 300, cells)
+    some = x.any(axis=1)
+    mix = np.zeros((5, 4))
+    mix[[0, 0, 1, 2, 3, 4], [0, 1, 2, 3, 0, 1]] = 0.5, 0.5, 1, 1, 2, 40  # the last is so far that no sample comes
+    rows = np.array([0, 9, 2, 150])
+    first = mix @ x[rows]
+    rdd = spark.sparkContext.parallelize([v.tolist() for v in x[some]], 2)
+    for most in (1, 20):
+        got = clusters.rounds(blocks, 300, clusters._layers(mix, rows, 300), 5, some, most)
+        model = KMeans.train(rdd, 5, maxIterations=most, initialModel=KMeansModel([v.tolist() for v in first]))
+        assert got[~some].tolist() == [-1] and got[some].tolist() == model.predict(rdd).collect()
+        assert 4 not in got
+
+
+def test_clusters_by_term_start_as_well_as_mllib_and_never_need_it(spark, world, monkeypatch):
+    shares, x, cells = _toy_shares(spark, monkeypatch)
+    monkeypatch.setattr(clusters, "MOST_CENTRES", 3)
+    some = x.any(axis=1)
+    cost = lambda label: sum(((x[label == c] - x[label == c].mean(axis=0)) ** 2).sum() for c in set(label[some]))
+    got = clusters.kmeans(shares, 300, cells, 4)
+    rows = classifiers.from_arrays(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x) if some[i]], "i int, v array<double>"), "v")
+    theirs = np.full(300, -1)
+    for r in classifiers.kmeans(rows, 4).transform(rows).select("i", "prediction").collect():
+        theirs[r["i"]] = r["prediction"]
+    assert set(got) == {-1, 0, 1, 2, 3} and cost(got) <= 1.1 * cost(theirs)
+    few = spark.createDataFrame([(t, i, 1.0) for i in range(9) for t in ("ab", "cd")[i % 2]], "term string, place long, share double")
+    same = clusters.kmeans(few, 9, 18, 5)
+    assert len(set(same[::2])) == len(set(same[1::2])) == 1 and same[0] != same[1]  # two texts, so two clusters
+    assert clusters.kmeans(few.limit(0), 2, 0, 3).tolist() == [-1, -1] and len(clusters.kmeans(few.limit(0), 0, 0, 3)) == 0
+    monkeypatch.setattr(classifiers, "kmeans", None)  # its centres are dense
+    tf, dim, p, u = world
+    assert learning.prototypes(tf, dim, u, p).count() == 80
+    assert learning.prototypes(tf, dim, u.limit(0), p).collect() == []
